@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from panelsmith.design import Design, K_LIST
-from panelsmith.operators import resample, selection
+from panelsmith.operators import cells, metrics, resample, selection
+from panelsmith.operators.models import knn, nb
 from panelsmith.session import settle
 from panelsmith.sources.tables import embedding_genes, feature_count
 
@@ -81,3 +82,51 @@ class Study:
             self.design.split_of(F.col("slot")).alias("split"),
             "K", "rank", "gene_ix", "gene", "slot",
         )
+
+    # --- evaluation ---------------------------------------------------------------------
+
+    @cached_property
+    def stage1_arrays(self) -> DataFrame:
+        """Each split's own panels."""
+        return settle(cells.panel_arrays(self.panels), "arrays1")
+
+    @cached_property
+    def frozen(self) -> DataFrame:
+        """(K, rank, gene, count): the fixed panels of stage 2."""
+        return settle(selection.frozen_panels(selection.selection_frequency(self.panels)), "frozen")
+
+    @cached_property
+    def stage2_panels(self) -> DataFrame:
+        """The fixed panels laid out for every slot."""
+        slots = F.explode(F.sequence(F.lit(0), F.lit(self.design.n_slots - 1))).alias("slot")
+        return self.frozen.join(self.genes, "gene").select(slots, "K", "rank", "gene_ix", "gene")
+
+    @cached_property
+    def stage2_arrays(self) -> DataFrame:
+        return settle(cells.panel_arrays(self.stage2_panels), "arrays2")
+
+    def stage_panels(self, stage: int) -> DataFrame:
+        return self.panels if stage == 1 else self.stage2_panels
+
+    def stage_rows(self, stage: int) -> DataFrame:
+        arrays = self.stage1_arrays if stage == 1 else self.stage2_arrays
+        return cells.cell_rows(self.roles, arrays, self.design.pos)
+
+    def naive_bayes(self, stage: int = 1, balanced: bool = False) -> DataFrame:
+        models = settle(nb.fit_models(self.fit, self.stage_panels(stage), balanced), "nb")
+        return nb.predict(self.stage_rows(stage).where("not in_train"), models, self.design)
+
+    def neighbours(self, stage: int = 1) -> DataFrame:
+        rows = self.stage_rows(stage)
+        scales = settle(knn.scales_from_fit(self.fit, self.stage_panels(stage)), "scales")
+        return knn.predict(rows.where("in_train"), rows.where("not in_train"), scales, self.design)
+
+    def split_metrics(self, predictions: DataFrame) -> DataFrame:
+        """(model, rep, split, K, MCE, Sensitivity, Specificity)."""
+        counts = metrics.confusion(predictions, ["model", "slot", "K"], self.design.pos, self.design.neg)
+        return metrics.split_metrics(counts).select(
+            "model",
+            self.design.rep_of(F.col("slot")).alias("rep"),
+            self.design.split_of(F.col("slot")).alias("split"),
+            "K", "MCE", "Sensitivity", "Specificity",
+        )

@@ -174,3 +174,78 @@ def selection(n_splits: int, rule: str = "balanced", k_list=(3, 5, 10, 25, 50, 7
     return ",".join([
         samples(rule), splits(n_splits, first_rep, n_reps), fit(), prior(), ranked(), panels(k_list)
     ])
+
+
+# --- models ---------------------------------------------------------------------------------
+
+POPULATION = """
+pop AS (
+  SELECT *, (n1 * (p1 + pow(m1 - mean, 2)) + n0 * (p0 + pow(m0 - mean, 2))) / (n1 + n0) AS p
+  FROM (SELECT rep, split, gene_ix, n1, n0, m1, m0, v1 * (n1 - 1) / n1 AS p1, v0 * (n0 - 1) / n0 AS p0,
+               (n1 * m1 + n0 * m0) / (n1 + n0) AS mean FROM fit))"""
+
+
+def naive_bayes(panels: str = "panels", balanced: bool = False, name: str = "nb_pred") -> str:
+    prior = "0::DOUBLE" if balanced else "ln(any_value(n1)::DOUBLE / any_value(n0))"
+    return f"""
+{name}_cell AS (
+  SELECT rep, split, "K", gene_ix, n1, n0, m1, m0, p1 + eps AS p1, p0 + eps AS p0
+  FROM (SELECT *, 1e-9::DOUBLE * max(p) OVER (PARTITION BY rep, split, "K") AS eps
+        FROM (SELECT rep, split, "K", gene_ix FROM {panels}) JOIN pop USING (rep, split, gene_ix))),
+{name}_score AS (
+  SELECT rep, split, "K", sample_ix, class,
+         {prior} + sum((-0.5::DOUBLE * ln(p1) - pow(value - m1, 2) / (2 * p1))
+                       - (-0.5::DOUBLE * ln(p0) - pow(value - m0, 2) / (2 * p0))) AS score
+  FROM {name}_cell JOIN long USING (gene_ix) JOIN splits USING (rep, split, sample_ix, class)
+  WHERE role = 'test' GROUP BY rep, split, "K", sample_ix, class),
+{name} AS (
+  SELECT 'DLDA' AS model, rep, split, "K", sample_ix, class, 1 / (1 + exp(-score)) AS p_pos,
+         CASE WHEN 1 / (1 + exp(-score)) >= 0.5 THEN 'Cancer' ELSE 'Control' END AS predicted
+  FROM {name}_score)"""
+
+
+def neighbours(panels: str = "panels", name: str = "knn_pred") -> str:
+    return f"""
+{name}_vec AS (
+  SELECT rep, split, "K", sample_ix, class, role,
+         list(value / CASE WHEN p = 0 THEN 1 ELSE sqrt(p) END ORDER BY rank) AS v
+  FROM (SELECT rep, split, "K", rank, gene_ix FROM {panels}) JOIN pop USING (rep, split, gene_ix)
+       JOIN long USING (gene_ix) JOIN splits USING (rep, split, sample_ix, class)
+  GROUP BY rep, split, "K", sample_ix, class, role),
+{name}_near AS (
+  SELECT q.rep, q.split, q."K", q.sample_ix, q.class, t.class AS near_class, list_distance(q.v, t.v) AS d,
+         row_number() OVER (PARTITION BY q.rep, q.split, q."K", q.sample_ix
+                            ORDER BY list_distance(q.v, t.v), t.sample_ix) AS nth
+  FROM {name}_vec q JOIN {name}_vec t
+    ON q.rep = t.rep AND q.split = t.split AND q."K" = t."K" AND q.role = 'test' AND t.role = 'train'),
+{name}_vote AS (
+  SELECT rep, split, "K", sample_ix, class,
+         CASE WHEN min(d) = 0 THEN sum(CASE WHEN d = 0 AND near_class = 'Cancer' THEN 1.0::DOUBLE ELSE 0 END) / sum(CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 0 END)
+              ELSE sum(CASE WHEN near_class = 'Cancer' THEN 1 / d ELSE 0 END) / sum(1 / d) END AS p_pos
+  FROM {name}_near WHERE nth <= 3 GROUP BY rep, split, "K", sample_ix, class),
+{name} AS (
+  SELECT 'kNN' AS model, rep, split, "K", sample_ix, class, p_pos,
+         CASE WHEN p_pos >= 0.5 THEN 'Cancer' ELSE 'Control' END AS predicted FROM {name}_vote)"""
+
+
+def metrics(predictions: str, name: str = "metrics") -> str:
+    return f"""
+{name}_counts AS (
+  SELECT model, rep, split, "K",
+         count(*) FILTER (class = 'Cancer' AND predicted = 'Cancer') AS tp,
+         count(*) FILTER (class = 'Control' AND predicted = 'Control') AS tn,
+         count(*) FILTER (class = 'Control' AND predicted = 'Cancer') AS fp,
+         count(*) FILTER (class = 'Cancer' AND predicted = 'Control') AS fn,
+         count(*) AS rows
+  FROM {predictions} GROUP BY model, rep, split, "K"),
+{name} AS (
+  SELECT model, rep, split, "K", 1 - (tp + tn)::DOUBLE / rows AS "MCE",
+         CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END AS "Sensitivity",
+         CASE WHEN tn + fp > 0 THEN tn::DOUBLE / (tn + fp) END AS "Specificity"
+  FROM {name}_counts)"""
+
+
+SUMMARY_COLUMNS = """
+  round(avg("MCE"), 6) AS "MCE_mean", round(stddev_samp("MCE") / sqrt(count(*)), 6) AS "MCE_se",
+  round(avg("Sensitivity"), 6) AS "Sens_mean", round(stddev_samp("Sensitivity") / sqrt(count(*)), 6) AS "Sens_se",
+  round(avg("Specificity"), 6) AS "Spec_mean", round(stddev_samp("Specificity") / sqrt(count(*)), 6) AS "Spec_se\""""
