@@ -176,4 +176,6 @@ def spearman_pairs(panels: DataFrame, ident: str) -> DataFrame:
         again.groupBy("K", "a", "b")
         .agg(F.count(F.lit(1)).alias("common"), F.corr("ra", "rb").alias("spearman"))
         .where("common >= 2")
+        # one zero, not two
+        .withColumn("spearman", F.when(F.abs("spearman") < 1e-12, 0.0).otherwise(F.col("spearman")))
     )

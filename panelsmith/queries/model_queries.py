@@ -148,7 +148,7 @@ shared AS (
   SELECT x."K", x.split AS a, y.split AS b, x.rank AS rank_a, y.rank AS rank_b
   FROM panels x JOIN panels y ON x."K" = y."K" AND x.gene = y.gene AND x.split < y.split),
 again AS (SELECT "K", a, b, {rank_order('rank_a', '"K", a, b')} AS ra, {rank_order('rank_b', '"K", a, b')} AS rb FROM shared)
-SELECT "K", a, b, count(*) AS common, round(corr(ra, rb), 6) AS spearman FROM again GROUP BY "K", a, b HAVING count(*) >= 2"""
+SELECT "K", a, b, count(*) AS common, CASE WHEN abs(corr(ra, rb)) < 1e-12 THEN 0 ELSE round(corr(ra, rb), 6) END AS spearman FROM again GROUP BY "K", a, b HAVING count(*) >= 2"""
 
 
 @query(f"WITH {parts.selection(SPLITS)}, {SPEARMAN_SQL}")
