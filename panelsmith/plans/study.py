@@ -8,8 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from panelsmith.design import Design, K_LIST
-from panelsmith.operators import cells, metrics, resample, selection
-from panelsmith.operators.models import knn, nb
+from panelsmith.operators import cells, metrics, resample, selection, smote
+from panelsmith.operators.models import knn, lda, nb
 from panelsmith.session import settle
 from panelsmith.sources.tables import embedding_genes, feature_count
 
@@ -116,10 +116,23 @@ class Study:
         models = settle(nb.fit_models(self.fit, self.stage_panels(stage), balanced), "nb")
         return nb.predict(self.stage_rows(stage).where("not in_train"), models, self.design)
 
-    def neighbours(self, stage: int = 1) -> DataFrame:
+    def neighbours(self, stage: int = 1, oversample: bool = False) -> DataFrame:
         rows = self.stage_rows(stage)
-        scales = settle(knn.scales_from_fit(self.fit, self.stage_panels(stage)), "scales")
-        return knn.predict(rows.where("in_train"), rows.where("not in_train"), scales, self.design)
+        train = rows.where("in_train")
+        if oversample:
+            # synthetic rows come before scaling, so they count in the deviations
+            train = settle(smote.oversampled(train, self.design), "oversampled")
+            scales = settle(knn.scales_from_rows(train), "scales")
+        else:
+            scales = settle(knn.scales_from_fit(self.fit, self.stage_panels(stage)), "scales")
+        return knn.predict(train, rows.where("not in_train"), scales, self.design)
+
+    def discriminant(self, stage: int = 1, oversample: bool = False) -> DataFrame:
+        rows = self.stage_rows(stage)
+        train = rows.where("in_train")
+        if oversample:
+            train = settle(smote.oversampled(train, self.design), "oversampled")
+        return lda.predict(train, rows.where("not in_train"), self.design)
 
     def split_metrics(self, predictions: DataFrame) -> DataFrame:
         """(model, rep, split, K, MCE, Sensitivity, Specificity)."""

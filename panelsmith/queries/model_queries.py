@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelsmith.operators import metrics as m, selection
+from panelsmith.operators import metrics as m, selection, smote as smote_rows
 from panelsmith.operators.cells import cell_rows
 from panelsmith.queries import sql_parts as parts
 from panelsmith.queries.registry import query, rounded
@@ -71,6 +71,58 @@ def stage2_panel_restrict(spark, sf_dir):
     return s.stage2_panels.select(s.design.split_of(F.col("slot")).alias("split"), "K", "rank", "gene_ix", "gene")
 
 
+SMOTE_SQL = f"""{parts.selection(3, 'imbalanced')},
+vec AS (
+  SELECT split, "K", sample_ix, class, role, list(value ORDER BY rank) AS v
+  FROM panels JOIN long USING (gene_ix) JOIN splits USING (rep, split, sample_ix, class) GROUP BY ALL),
+minor AS (SELECT *, row_number() OVER (PARTITION BY split, "K" ORDER BY sample_ix) AS base_no FROM vec WHERE role = 'train' AND class = 'Cancer'),
+sizes AS (SELECT split, "K", count(*) FILTER (class = 'Cancer') AS n_min, count(*) FILTER (class <> 'Cancer') - count(*) FILTER (class = 'Cancer') AS need
+  FROM vec WHERE role = 'train' GROUP BY ALL),
+near AS (
+  SELECT a.split, a."K", a.sample_ix AS base_ix, b.sample_ix AS near_ix, b.v AS near_v,
+         row_number() OVER (PARTITION BY a.split, a."K", a.sample_ix ORDER BY list_distance(a.v, b.v), b.sample_ix) AS nth
+  FROM minor a JOIN minor b ON a.split = b.split AND a."K" = b."K" AND a.sample_ix <> b.sample_ix),
+keys AS (
+  SELECT split, "K", n_min, least(5, n_min - 1) AS n_near, unnest(range(1, need + 1)) AS j FROM sizes WHERE n_min >= 2),
+draws AS (
+  SELECT *, md5('smote|1|0|' || split || '|0|' || "K" || '|' || j) AS h FROM keys),
+picked AS (
+  SELECT split, "K", j, ('0x' || substr(h, 1, 10))::BIGINT % n_min + 1 AS base_no, ('0x' || substr(h, 11, 10))::BIGINT % n_near + 1 AS nth,
+         ('0x' || substr(h, 21, 10))::BIGINT::DOUBLE / 1099511627776 AS u FROM draws)
+SELECT split, "K", j, base_ix, near_ix, round(u, 6) AS u,
+       round(list_sum([(i) * (a + u * (b - a)) for a, b, i in list_zip(v, near_v, range(1, len(v) + 1))]), 6) AS weighted
+FROM picked JOIN (SELECT split, "K", base_no, sample_ix AS base_ix, v FROM minor) USING (split, "K", base_no) JOIN near USING (split, "K", base_ix, nth)"""
+SMOTE_SQL = SMOTE_SQL.replace("[(i) * (a + u * (b - a)) for a, b, i in list_zip(v, near_v, range(1, len(v) + 1))]",
+                              "list_transform(list_zip(v, near_v, range(1, len(v) + 1)), lambda z: z[3] * (z[1] + u * (z[2] - z[1])))")
+
+
+@query(f"WITH {SMOTE_SQL}")
+def smote(spark, sf_dir):
+    s = study(spark, sf_dir, 3, rule="imbalanced")
+    extra = smote_rows.synthetic(s.stage_rows(1).where("in_train"), s.design)
+    dot = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    out = extra.select(s.design.split_of(F.col("slot")).alias("split"), "K", "j", "base_ix", "near_ix", "u", dot.alias("weighted"))
+    return rounded(out, "u", "weighted")
+
+
+@query()
+def lda(spark, sf_dir):
+    s = study(spark, sf_dir, rule="planted")
+    return predictions(s, s.discriminant())
+
+
+@query()
+def lda_oversampled(spark, sf_dir):
+    s = study(spark, sf_dir, 5, rule="imbalanced")
+    return predictions(s, s.discriminant(oversample=True))
+
+
+@query()
+def knn_oversampled(spark, sf_dir):
+    s = study(spark, sf_dir, KNN_SPLITS, rule="imbalanced")
+    return predictions(s, s.neighbours(oversample=True))
+
+
 BOTH_SQL = f"""{parts.selection(KNN_SPLITS, 'planted')}, {parts.POPULATION}, {parts.naive_bayes()}, {parts.neighbours()},
 both_pred AS (SELECT * FROM nb_pred UNION ALL SELECT * FROM knn_pred), {parts.metrics('both_pred')}"""
 
