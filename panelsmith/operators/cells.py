@@ -7,9 +7,10 @@ evaluates the rows of that fold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelsmith.design import Design, N_FOLDS
+from panelsmith.operators.ranking import id_bucket, numbered
 
 
 def panel_arrays(panels: DataFrame) -> DataFrame:
@@ -85,3 +86,23 @@ def decided(scored: DataFrame, model: str, design: Design) -> DataFrame:
         F.lit(model).alias("model"), "slot", "K", "sample_ix", "class", "p_pos",
         F.when(wins, design.pos).otherwise(design.neg).alias("predicted"),
     )
+
+
+def fold_rows(rows: DataFrame, n_folds: int = N_FOLDS) -> DataFrame:
+    """Inner folds of training rows that include synthetic ones (id below zero, after all others)."""
+    place = F.when(F.col("sample_ix") >= 0, F.col("sample_ix")).otherwise(F.lit(2**61) - F.col("sample_ix"))
+    placed = numbered(
+        rows.withColumn("_place", place), ["slot", "K", "class"], "_place", id_bucket(F.col("_place")), "_no"
+    )
+    groups = placed.groupBy("slot", "K", "class").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    lower = Window.partitionBy("slot", "K").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_lo", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
+
+    def below(m, i: int):
+        return F.floor((m - i + n_folds - 1) / n_folds)
+
+    upto, fold = F.lit(0).cast("long"), F.lit(0)
+    for i in range(n_folds - 1):
+        upto = upto + below(F.col("_lo") + F.col("_n"), i) - below(F.col("_lo"), i)
+        fold = fold + (F.col("_no") > upto).cast("int")
+    return placed.join(groups, ["slot", "K", "class"]).withColumn("fold", fold).drop("_place", "_no", "_n", "_first", "_lo")

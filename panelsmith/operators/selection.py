@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelsmith.design import Design
 from panelsmith.functions.special import digamma, trigamma, trigamma_inverse
-from panelsmith.session import spread
 
 # Memory one task may use for its running sums.
 _SUMS_BYTES = 256 * 2**20
@@ -22,19 +21,17 @@ def matrix_of(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def group_moments(roles: DataFrame, design: Design, n_features: int) -> DataFrame:
+def group_moments(roles: DataFrame, design: Design, centre: Sequence[float]) -> DataFrame:
     """Per (slot, gene): size, mean and sample variance of positives and of the rest.
 
     One pass over the matrix for all slots: per batch the training masks are
     multiplied with the features, so rows are never copied per split and the
-    shuffle carries sums only. Values are centred on an arbitrary row before
-    they are squared, which costs nothing and avoids cancellation.
+    shuffle carries sums only. Values are taken relative to `centre`, the
+    features of any one sample, before they are squared: that changes no result
+    and avoids cancellation.
     """
-    slots_at_once = max(1, _SUMS_BYTES // (n_features * 6 * 8))
-    centre = roles.select("features").first()[0]
-    slim = spread(
-        roles.select((F.col("class") == design.pos).alias("is_pos"), "train", "features")
-    )
+    slots_at_once = max(1, _SUMS_BYTES // (len(centre) * 6 * 8))
+    slim = roles.select((F.col("class") == design.pos).alias("is_pos"), "train", "features")
     parts = [
         _moments_of_slots(slim, centre, lo, min(lo + slots_at_once, design.n_slots))
         for lo in range(0, design.n_slots, slots_at_once)

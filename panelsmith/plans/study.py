@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
 from panelsmith.design import Design, K_LIST
-from panelsmith.operators import cells, metrics, resample, selection, smote
-from panelsmith.operators.models import knn, lda, nb
-from panelsmith.session import settle
-from panelsmith.sources.tables import embedding_genes, feature_count
+from panelsmith.operators import cells, metrics, resample, selection
+from panelsmith.operators.models import forest, lasso, stack
+from panelsmith.plans.evaluation import CellSet, nested
+from panelsmith.session import settle, spread
+from panelsmith.sources.tables import embedding_genes
 
 
 class Study:
@@ -27,15 +28,24 @@ class Study:
         design: Design,
         k_list: Sequence[int] = K_LIST,
         genes: DataFrame | None = None,
+        imbalanced: bool = False,
+        trees: int = forest.TREES,
     ) -> None:
-        self.samples = samples
+        self.samples = spread(samples, "samples")
         self.design = design
         self.k_list = tuple(k_list)
+        self.imbalanced = imbalanced
+        self.trees = trees
         self.genes = genes if genes is not None else embedding_genes(samples)
 
     @cached_property
+    def any_features(self) -> list[float]:
+        """The features of some one sample."""
+        return self.samples.select("features").first()["features"]
+
+    @property
     def n_features(self) -> int:
-        return feature_count(self.samples)
+        return len(self.any_features)
 
     @cached_property
     def cuts(self) -> DataFrame:
@@ -55,7 +65,7 @@ class Study:
 
     @cached_property
     def fit(self) -> DataFrame:
-        moments = selection.group_moments(self.roles, self.design, self.n_features)
+        moments = selection.group_moments(self.roles, self.design, self.any_features)
         return settle(selection.pooled_variance(moments), "fit")
 
     @cached_property
@@ -85,11 +95,6 @@ class Study:
 
     # --- evaluation ---------------------------------------------------------------------
 
-    @cached_property
-    def stage1_arrays(self) -> DataFrame:
-        """Each split's own panels."""
-        return settle(cells.panel_arrays(self.panels), "arrays1")
-
     @cached_property
     def frozen(self) -> DataFrame:
         """(K, rank, gene, count): the fixed panels of stage 2."""
@@ -101,38 +106,35 @@ class Study:
         slots = F.explode(F.sequence(F.lit(0), F.lit(self.design.n_slots - 1))).alias("slot")
         return self.frozen.join(self.genes, "gene").select(slots, "K", "rank", "gene_ix", "gene")
 
-    @cached_property
-    def stage2_arrays(self) -> DataFrame:
-        return settle(cells.panel_arrays(self.stage2_panels), "arrays2")
-
-    def stage_panels(self, stage: int) -> DataFrame:
-        return self.panels if stage == 1 else self.stage2_panels
-
-    def stage_rows(self, stage: int) -> DataFrame:
-        arrays = self.stage1_arrays if stage == 1 else self.stage2_arrays
-        return cells.cell_rows(self.roles, arrays, self.design.pos)
-
-    def naive_bayes(self, stage: int = 1, balanced: bool = False) -> DataFrame:
-        models = settle(nb.fit_models(self.fit, self.stage_panels(stage), balanced), "nb")
-        return nb.predict(self.stage_rows(stage).where("not in_train"), models, self.design)
-
-    def neighbours(self, stage: int = 1, oversample: bool = False) -> DataFrame:
-        rows = self.stage_rows(stage)
-        train = rows.where("in_train")
-        if oversample:
-            # synthetic rows come before scaling, so they count in the deviations
-            train = settle(smote.oversampled(train, self.design), "oversampled")
-            scales = settle(knn.scales_from_rows(train), "scales")
-        else:
-            scales = settle(knn.scales_from_fit(self.fit, self.stage_panels(stage)), "scales")
-        return knn.predict(train, rows.where("not in_train"), scales, self.design)
-
-    def discriminant(self, stage: int = 1, oversample: bool = False) -> DataFrame:
-        rows = self.stage_rows(stage)
-        train = rows.where("in_train")
-        if oversample:
-            train = settle(smote.oversampled(train, self.design), "oversampled")
-        return lda.predict(train, rows.where("not in_train"), self.design)
+    @cache
+    def cells(self, stage: int = 1) -> CellSet:
+        """Stage 1 evaluates each split's own panels, stage 2 the frozen ones."""
+        return CellSet(
+            self.design, self.design.n_slots, self.roles, self.panels if stage == 1 else self.stage2_panels,
+            self.any_features, self.fit, imbalanced=self.imbalanced, trees=self.trees,
+        )
+
+    def lasso_all_features(self) -> DataFrame:
+        """The l1 model on all features; the same for every K and both stages, so fitted once per slot (K = 0)."""
+        arrays = cells.all_features(self.n_features, self.design, self.samples.sparkSession)
+        if self.imbalanced:
+            every = CellSet(self.design, self.design.n_slots, self.roles, arrays.select(
+                "slot", "K", F.posexplode("idx").alias("rank", "gene_ix")
+            ), self.any_features, self.fit, imbalanced=True)
+            return every.lasso()
+        rows = settle(lasso.shared_rows(self.folded, self.design.pos), "lasso-rows")
+        found = [(slot, -1, 0, slot, self.n_features) for slot in range(self.design.n_slots)]
+        models = lasso.model_table(rows.sparkSession, lasso.fit_models(rows, found))
+        test = cells.cell_rows(self.roles, arrays, self.design.pos).where("not in_train")
+        return lasso.predict(test, models, self.design)
+
+    def super_learner(self, stage: int = 1) -> tuple[DataFrame, DataFrame]:
+        """(predictions of the stack and its base models, ensemble weights)."""
+        outer = self.cells(stage)
+        fits = stack.fit_meta(nested(outer, self.folded).base_predictions(), self.design)
+        base = outer.base_predictions()
+        stacked = stack.predict(base, fits, self.design)
+        return base.unionByName(stacked), stack.weights(base.sparkSession, fits)
 
     def split_metrics(self, predictions: DataFrame) -> DataFrame:
         """(model, rep, split, K, MCE, Sensitivity, Specificity)."""

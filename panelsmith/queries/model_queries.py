@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelsmith.operators import metrics as m, selection, smote as smote_rows
-from panelsmith.operators.cells import cell_rows
+from panelsmith.operators.models.stack import BASES
 from panelsmith.queries import sql_parts as parts
 from panelsmith.queries.registry import query, rounded
 from panelsmith.queries.selection_queries import FROZEN_SQL, SPLITS, study
@@ -40,7 +40,7 @@ def train_test_cells(spark, sf_dir):
     dot = F.aggregate(
         F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v
     )
-    rows = cell_rows(s.roles, s.stage1_arrays, s.design.pos).select(
+    rows = s.cells(1).rows.select(
         s.design.split_of(F.col("slot")).alias("split"), "K", "sample_ix", "is_pos", "in_train",
         dot.alias("weighted"), F.size("x").cast("long").alias("width"),
     )
@@ -50,19 +50,19 @@ def train_test_cells(spark, sf_dir):
 @query(f"WITH {parts.selection(SPLITS)}, {parts.POPULATION}, {parts.naive_bayes()} {PREDICTION_SQL} nb_pred")
 def gaussian_nb(spark, sf_dir):
     s = study(spark, sf_dir)
-    return predictions(s, s.naive_bayes())
+    return predictions(s, s.cells(1).naive_bayes())
 
 
 @query(f"WITH {parts.selection(SPLITS, 'imbalanced')}, {parts.POPULATION}, {parts.naive_bayes(balanced=True)} {PREDICTION_SQL} nb_pred")
 def gaussian_nb_weighted(spark, sf_dir):
     s = study(spark, sf_dir, rule="imbalanced")
-    return predictions(s, s.naive_bayes(balanced=True))
+    return predictions(s, s.cells(1).naive_bayes())
 
 
 @query(f"WITH {parts.selection(KNN_SPLITS)}, {parts.POPULATION}, {parts.neighbours()} {PREDICTION_SQL} knn_pred")
 def knn_vote(spark, sf_dir):
     s = study(spark, sf_dir, KNN_SPLITS)
-    return predictions(s, s.neighbours())
+    return predictions(s, s.cells(1).neighbours())
 
 
 @query(f"""WITH {parts.selection(SPLITS)}, {STAGE2_SQL} SELECT split, "K", rank, gene_ix, gene FROM fixed""")
@@ -99,7 +99,7 @@ SMOTE_SQL = SMOTE_SQL.replace("[(i) * (a + u * (b - a)) for a, b, i in list_zip(
 @query(f"WITH {SMOTE_SQL}")
 def smote(spark, sf_dir):
     s = study(spark, sf_dir, 3, rule="imbalanced")
-    extra = smote_rows.synthetic(s.stage_rows(1).where("in_train"), s.design)
+    extra = smote_rows.synthetic(settle(s.cells(1).train, "train"), s.design)
     dot = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     out = extra.select(s.design.split_of(F.col("slot")).alias("split"), "K", "j", "base_ix", "near_ix", "u", dot.alias("weighted"))
     return rounded(out, "u", "weighted")
@@ -108,19 +108,59 @@ def smote(spark, sf_dir):
 @query()
 def lda(spark, sf_dir):
     s = study(spark, sf_dir, rule="planted")
-    return predictions(s, s.discriminant())
+    return predictions(s, s.cells(1).lda())
 
 
 @query()
 def lda_oversampled(spark, sf_dir):
     s = study(spark, sf_dir, 5, rule="imbalanced")
-    return predictions(s, s.discriminant(oversample=True))
+    return predictions(s, s.cells(1).lda())
 
 
 @query()
 def knn_oversampled(spark, sf_dir):
     s = study(spark, sf_dir, KNN_SPLITS, rule="imbalanced")
-    return predictions(s, s.neighbours(oversample=True))
+    return predictions(s, s.cells(1).neighbours())
+
+
+@query()
+def svm_calibrated(spark, sf_dir):
+    s = study(spark, sf_dir, 3, rule="planted")
+    return predictions(s, s.cells(1).svm())
+
+
+@query()
+def svm_calibrated_weighted(spark, sf_dir):
+    s = study(spark, sf_dir, 2, rule="imbalanced")
+    return predictions(s, s.cells(1).svm())
+
+
+@query()
+def lasso_cv(spark, sf_dir):
+    s = study(spark, sf_dir, 3, rule="planted")
+    return predictions(s, s.lasso_all_features())
+
+
+@query()
+def lasso_cv_oversampled(spark, sf_dir):
+    s = study(spark, sf_dir, 2, rule="imbalanced")
+    return predictions(s, s.lasso_all_features())
+
+
+@query()
+def random_forest(spark, sf_dir):
+    s = study(spark, sf_dir, 1, rule="planted", k_list=(10,))
+    return predictions(s, s.cells(1).forest())
+
+
+@query()
+def super_learner(spark, sf_dir):
+    s = study(spark, sf_dir, 1, rule="planted", k_list=(10,))
+    scored, weights = s.super_learner()
+    by_base = weights.groupBy("slot", "K").agg(F.map_from_entries(F.collect_list(F.struct("base", "weight"))).alias("weights"))
+    return predictions(s, scored).join(
+        by_base.select(F.col("K"), *[F.round(F.element_at("weights", b), 6).alias(f"SL_w_{b}") for b, _ in BASES]), "K"
+    )
 
 
 BOTH_SQL = f"""{parts.selection(KNN_SPLITS, 'planted')}, {parts.POPULATION}, {parts.naive_bayes()}, {parts.neighbours()},
@@ -129,7 +169,7 @@ both_pred AS (SELECT * FROM nb_pred UNION ALL SELECT * FROM knn_pred), {parts.me
 
 def both_models(spark, sf_dir):
     s = study(spark, sf_dir, KNN_SPLITS, rule="planted")
-    return s, s.naive_bayes().unionByName(s.neighbours())
+    return s, s.cells(1).naive_bayes().unionByName(s.cells(1).neighbours())
 
 
 @query(f'WITH {BOTH_SQL} SELECT model, rep, split, "K", tp, tn, fp, fn, rows FROM metrics_counts')
@@ -158,7 +198,7 @@ both_pred AS (SELECT * FROM nb_pred UNION ALL SELECT * FROM knn_pred), {parts.me
 SELECT model, "K", {parts.SUMMARY_COLUMNS} FROM metrics GROUP BY model, "K" """)
 def summary_stage2(spark, sf_dir):
     s = study(spark, sf_dir, KNN_SPLITS)
-    p = s.naive_bayes(2).unionByName(s.neighbours(2))
+    p = s.cells(2).naive_bayes().unionByName(s.cells(2).neighbours())
     return rounded(m.summary(s.split_metrics(p)), *SUMMARY)
 
 

@@ -15,8 +15,9 @@ SPLITS = 20
 REPS = 4
 
 
-def study(spark, sf_dir, n_splits=SPLITS, rule="balanced", **kw) -> Study:
-    return Study(embedding_samples(spark, sf_dir, rule), Design(n_splits=n_splits, **kw))
+def study(spark, sf_dir, n_splits=SPLITS, rule="balanced", first_rep=0, n_reps=1, **kw) -> Study:
+    design = Design(n_splits=n_splits, first_rep=first_rep, n_reps=n_reps)
+    return Study(embedding_samples(spark, sf_dir, rule), design, imbalanced=rule == "imbalanced", **kw)
 
 
 def keyed(df, design: Design, *columns: str):

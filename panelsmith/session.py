@@ -48,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     The written table ends the lineage, survives lost executors, and has a
@@ -58,16 +58,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), "panelsmith", f"{name}-{uuid.uuid4().hex}")
     schema = df.schema
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table that arrives in fewer pieces than there are cores one piece per core.
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """A stored table in at least one piece per core.
 
-    A table that already has enough partitions is left as it is (no shuffle).
+    A table that already comes in enough pieces is left as it is. One that does
+    not is small (fewer than `cores` file splits) and is written out once in
+    even pieces. Call this on a plain scan: it looks at the partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    return settle(df.repartition(cores), name)
