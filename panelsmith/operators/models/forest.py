@@ -17,6 +17,8 @@ from panelsmith.session import settle
 # Fixed values of the study: trees, seed.
 TREES = 500
 SEED = 1
+# Rows per task of a fit; a small cell is not worth many tasks per tree level.
+_TASK_ROWS = 50_000
 
 
 def predict(
@@ -28,14 +30,16 @@ def predict(
     Rows are stored by cell, so each fit reads its own cell only; a few fits
     run side by side to fill the cluster between their stages.
     """
-    cells = [(r["slot"], r["K"]) for r in train.select("slot", "K").distinct().collect()]
     train = settle(train.select("slot", "K", "is_pos", "x"), "forest-train", "slot", "K")
     test = settle(test.select("slot", "K", "sample_ix", "class", "x"), "forest-test", "slot", "K")
 
-    def one(cell: tuple[int, int]) -> DataFrame:
-        slot, k = cell
+    cells = [(r["slot"], r["K"], r["count"]) for r in train.groupBy("slot", "K").count().collect()]
+
+    def one(cell: tuple[int, int, int]) -> DataFrame:
+        slot, k, size = cell
         here = (F.col("slot") == slot) & (F.col("K") == k)
         rows = train.where(here).select(F.col("is_pos").cast("double").alias("label"), array_to_vector("x").alias("features"))
+        rows = rows.coalesce(1 + size // _TASK_ROWS)
         if balanced:
             n = rows.groupBy("label").count().collect()
             total = sum(r["count"] for r in n)
@@ -44,7 +48,7 @@ def predict(
             )
             rows = rows.withColumn("weight", weight)
         forest = RandomForestClassifier(
-            numTrees=trees, featureSubsetStrategy="sqrt", seed=SEED, maxDepth=30, maxMemoryInMB=1024, cacheNodeIds=True,
+            numTrees=trees, featureSubsetStrategy="sqrt", seed=SEED, maxDepth=30, maxMemoryInMB=1024,
             probabilityCol="probability", **({"weightCol": "weight"} if balanced else {}),
         )
         model = forest.fit(rows)

@@ -246,7 +246,8 @@ def _solve_group(rows: DataFrame, fits: dict[int, Fit], problem: Problem, max_st
             seen.add(i)
             first_gap.setdefault(i, gap)
             if i not in best or objective <= best[i] + 1e-12 * abs(best[i]):
-                stalled = i in best and len(sets[i]) and best[i] - objective <= 1e-13 * abs(best[i])
+                # no progress of a full step; on a working set the next one may still move
+                stalled = i in best and len(sets[i]) == width[i] and best[i] - objective <= 1e-13 * abs(best[i])
                 w[i], best[i] = trial[i], objective
                 d[i], active[i], size[i] = np.array(move), np.array(follow, dtype=np.int64), 1.0
                 if gap <= tolerance * max(1e-3, first_gap[i]) or stalled:

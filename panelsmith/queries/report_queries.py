@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelsmith.design import K_LIST
 from panelsmith.operators import figures, metrics as m, runtime, selection
 from panelsmith.operators.clean import duration_seconds
+from panelsmith.plans import jobs
 from panelsmith.queries import sql_parts as parts
 from panelsmith.queries.model_queries import BOTH_SQL, KNN_SPLITS, STABILITY_SQL, SUMMARY, both_models, stability_tables
 from panelsmith.queries.registry import query, rounded
@@ -248,3 +249,10 @@ def distinct_listing(spark, sf_dir):
     return runs(spark, sf_dir).agg(
         F.countDistinct("model").alias("models"), F.countDistinct("K").alias("ks"), F.countDistinct("cores").alias("core_counts")
     )
+
+
+@query()
+def stage1_job(spark, sf_dir):
+    """Timed metrics of the closed-form models for every split and K."""
+    table, _ = jobs.evaluate(study(spark, sf_dir, 5, rule="planted"), 1, ("LDA", "DLDA", "kNN"))
+    return table

@@ -211,8 +211,12 @@ def read_job_seconds(spark: SparkSession, path: str) -> DataFrame:
     """(file, seconds): second field of the first data row of each job timing file."""
     df = spark.read.csv(path, sep="\t", header=True)
     second = df.columns[1]
-    return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        clean.duration_seconds(F.min_by(F.col(f"`{second}`"), F.monotonically_increasing_id())).alias("seconds")
+    placed = df.select(
+        F.col("_metadata.file_path").alias("file"), F.col(f"`{second}`").alias("text"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"),
+    )
+    return placed.groupBy("file").agg(F.min_by("text", "at").alias("text")).select(
+        "file", clean.duration_seconds(F.col("text")).alias("seconds")
     )
 
 
