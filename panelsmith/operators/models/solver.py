@@ -197,7 +197,9 @@ def _next_directions(problem: Problem, w: dict[int, np.ndarray], active: dict[in
                         follow = np.arange(len(v))
                     else:
                         order = np.lexsort((-np.abs(full[n]), (v + move) == 0))
-                        follow = np.sort(order[:max(WORKING_SET, int(np.count_nonzero(v + move)))])
+                        # always room for features that want to enter
+                        room = int(np.count_nonzero(v + move)) + WORKING_SET // 2
+                        follow = np.sort(order[:max(WORKING_SET, room)])
                     out["fit"].append(i)
                     out["objective"].append(s[0] + lam * np.abs(v).sum() + problem.ridge / 2 * (v * v).sum())
                     out["violation"].append(gap.max())
