@@ -77,6 +77,14 @@ def unify_weights(table: DataFrame) -> DataFrame:
     return table.unpivot(keys, bases, "model", "weight")
 
 
+def with_weight_columns(table: DataFrame, weights: DataFrame, bases: Sequence[str]) -> DataFrame:
+    """Split metrics with SL_w_<base> columns, filled on the rows of the ensemble only."""
+    keys = [c for c in ("stage", "K", "split") if c in weights.columns]
+    wide = weights.groupBy(*keys).pivot("base", list(bases)).agg(F.first("weight"))
+    wide = wide.withColumnsRenamed({b: f"SL_w_{b}" for b in bases}).withColumn("model", F.lit("SuperLearner"))
+    return table.join(wide, [*keys, "model"], "left")
+
+
 def mean_weights(weights: DataFrame) -> DataFrame:
     return weights.groupBy("K", "model").agg(F.avg("weight").alias("weight"))
 

@@ -267,9 +267,18 @@ def _solve_group(rows: DataFrame, fits: dict[int, Fit], problem: Problem, max_st
 
 
 def held_losses(rows: DataFrame, fits: list[Fit]) -> np.ndarray:
-    """Mean logistic loss of each fit on its held-out fold, one pass for all fits."""
+    """Mean logistic loss of each fit on its held-out fold, one pass per group of fits."""
+    rows = rows.select("slot", "K", "codes", "is_pos", "x")
+    out = np.full(len(fits), np.inf)
+    for group in _groups(fits):
+        for row in _held_sums(rows, {i: fits[i] for i in group}).collect():
+            out[row["fit"]] = row["loss"]
+    return out
+
+
+def _held_sums(rows: DataFrame, fits: dict[int, Fit]) -> DataFrame:
     by_cell: dict[tuple, list[int]] = {}
-    for i, f in enumerate(fits):
+    for i, f in fits.items():
         by_cell.setdefault((f.slot, f.K), []).append(i)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +286,10 @@ def held_losses(rows: DataFrame, fits: list[Fit]) -> np.ndarray:
         for batch in batches:
             all_pos = batch["is_pos"].to_numpy(zero_copy_only=False).astype(bool)
             for key, at in cell_groups(batch, "slot", "K"):
+                if key not in by_cell:
+                    continue
                 x, codes, pos = rows_of(batch["x"], at), rows_of(batch["codes"], at), all_pos[at]
-                for i in by_cell.get(key, ()):
+                for i in by_cell[key]:
                     f = fits[i]
                     use = np.flatnonzero(codes[:, f.lane] == f.held)
                     m = x[use] @ f.coef + f.intercept
@@ -290,10 +301,5 @@ def held_losses(rows: DataFrame, fits: list[Fit]) -> np.ndarray:
                 "loss": pa.array([v[0] for v in sums.values()]), "n": pa.array([v[1] for v in sums.values()]),
             })
 
-    out = np.full(len(fits), np.inf)
-    totals = rows.select("slot", "K", "codes", "is_pos", "x").mapInArrow(partial, "fit int, loss double, n double").groupBy("fit").agg(
-        (F.sum("loss") / F.sum("n")).alias("loss")
-    )
-    for row in totals.collect():
-        out[row["fit"]] = row["loss"]
-    return out
+    totals = rows.mapInArrow(partial, "fit int, loss double, n double").groupBy("fit")
+    return totals.agg(F.try_divide(F.sum("loss"), F.sum("n")).alias("loss")).where("loss is not null")

@@ -51,8 +51,8 @@ def fit_models(rows: DataFrame, balanced: bool = False, n_folds: int = N_FOLDS)
     counts, deviations = fold_counts(rows), outside_deviations(rows, n_folds)
     margins = []
     for (slot, k, held), scale in sorted(deviations.items(), key=lambda kv: kv[0]):
-        p = sum(c[0] for (s, q, f), c in counts.items() if (s, q) == (slot, k) and f != held)
-        n = sum(c[1] for (s, q, f), c in counts.items() if (s, q) == (slot, k) and f != held)
+        others = [counts.get((slot, k, f), (0, 0)) for f in range(n_folds) if f != held]
+        p, n = sum(c[0] for c in others), sum(c[1] for c in others)
         weights = ((p + n) / (2 * p), (p + n) / (2 * n)) if balanced else (1.0, 1.0)
         margins.append(Fit(slot=slot, K=k, width=len(scale), held=held, weights=weights, scale=scale))
     coded = rows.withColumn("codes", F.array("fold"))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelsmith.session import settle
+
 # Rows of one bucket are sorted in one task; ids are dense, so this bounds it.
 ID_BUCKET = 65_536
 
@@ -29,11 +31,15 @@ def hash_bucket(key: Column, group_size: Column, per_bucket: int = 4_096) -> Col
 
 
 def order_statistics(
-    rows: DataFrame, wanted: DataFrame, keys: Sequence[str], value: str, bucket: str
+    rows: DataFrame, wanted: DataFrame, keys: Sequence[str], value: str, bucket: str, copies: str | None = None
 ) -> DataFrame:
-    """`value` at 1-based `rank` (a column of `wanted`) within each key group."""
+    """`value` at 1-based `rank` (a column of `wanted`) within each key group.
+
+    With `copies`, a row stands for that many equal values.
+    """
     keys = list(keys)
-    sizes = rows.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_size"))
+    rows = rows.select(*keys, bucket, value, (F.col(copies) if copies else F.lit(1)).cast("bigint").alias("_copies"))
+    sizes = rows.groupBy(*keys, bucket).agg(F.sum("_copies").alias("_size"))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -43,12 +49,15 @@ def order_statistics(
         .where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_size")))
         .select(*keys, bucket, "rank", (F.col("rank") - F.col("_upto") + F.col("_size")).alias("_at"))
     )
-    within = Window.partitionBy(*keys, bucket).orderBy(value)
+    within = Window.partitionBy(*keys, bucket).orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    placed = rows.join(hits.select(*keys, bucket).distinct(), [*keys, bucket], "left_semi").withColumn(
+        "_end", F.sum("_copies").over(within)
+    )
     return (
-        rows.select(*keys, bucket, value)
-        .join(hits.select(*keys, bucket).distinct(), [*keys, bucket], "left_semi")
-        .withColumn("_at", F.row_number().over(within).cast("long"))
-        .join(hits, [*keys, bucket, "_at"])
+        placed.join(hits, [*keys, bucket])
+        .where((F.col("_at") <= F.col("_end")) & (F.col("_at") > F.col("_end") - F.col("_copies")))
         .select(*keys, "rank", value)
     )
 
@@ -74,35 +83,41 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: str, bucket: Column, n
     )
 
 
+# Equal-width buckets of the value range when quantiles are sought.
+VALUE_BUCKETS = 4_096
+
+
 def count_quantiles(
     rows: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Linear-interpolation quantiles per key from counts of distinct values.
+    """Linear-interpolation quantiles per key.
 
-    Equal values are merged before the shuffle, so a hot group costs its number
-    of distinct values, not its number of rows.
+    Equal values are merged before the shuffle, and the wanted ranks are looked
+    up through buckets of the value range, so a group that holds most rows is
+    neither moved whole nor sorted in one task.
     """
     keys = list(keys)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n")
+    counts = settle(
+        rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "value-counts"
     )
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    groups = settle(
+        counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")), "value-groups"
+    )
+    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    placed = counts.join(groups, keys).withColumn("_bucket", F.floor(F.coalesce(share, F.lit(0.0)) * VALUE_BUCKETS))
+
+    def at(p: float) -> Column:
+        return F.lit(p) * (F.col("n") - 1)
+
+    ranks = F.array_distinct(F.array(*[
+        side(at(p)).cast("bigint") + 1 for p in probs.values() for side in (F.floor, F.ceil)
+    ]))
+    wanted = groups.select(*keys, F.explode(ranks).alias("rank"))
+    found = order_statistics(placed, wanted, keys, value, "_bucket", "_n").groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", value))).alias("_v")
     )
-    placed = counts.withColumn("_upto", F.sum("_n").over(run))
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    placed = placed.join(totals, keys)
-    picks: list[Column] = []
-    for name, p in probs.items():
-        at = F.lit(p) * (F.col("_total") - 1)
-        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picks.append(
-                F.min(F.when(F.col("_upto") > pos, F.col(value))).alias(f"_{name}_{side}")
-            )
-    picked = placed.groupBy(*keys).agg(F.first("_total").alias("_total"), *picks)
     out = []
     for name, p in probs.items():
-        at = F.lit(p) * (F.col("_total") - 1)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (at - F.floor(at)) * (hi - lo)).alias(name))
-    return picked.select(*keys, F.col("_total").alias("n"), *out)
+        lo, hi = (F.element_at("_v", side(at(p)).cast("bigint") + 1) for side in (F.floor, F.ceil))
+        out.append((lo + (at(p) - F.floor(at(p))) * (hi - lo)).alias(name))
+    return groups.join(found, keys).select(*keys, "n", *out)

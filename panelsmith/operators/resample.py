@@ -151,8 +151,12 @@ def fold_ends(roles: DataFrame, n_folds: int = N_FOLDS) -> DataFrame:
 
 def with_folds(roles: DataFrame, ends: DataFrame) -> DataFrame:
     """Add `fold`: per slot, the fold of a training sample, -1 for a test sample."""
-    by_class = ends.groupBy("class").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "ends"))).alias("_ends")
+    by_slot_map = F.map_from_entries(F.collect_list(F.struct("slot", "ends")))
+    # a dense array per class: the lookup of a row is by position
+    by_class = (
+        ends.groupBy("class")
+        .agg(by_slot_map.alias("_map"), F.max("slot").alias("_last"))
+        .select("class", F.transform(F.sequence(F.lit(0), F.col("_last")), lambda i: F.try_element_at("_map", i)).alias("_ends"))
     )
     sample_ix = F.col("sample_ix")
     return (
@@ -163,7 +167,7 @@ def with_folds(roles: DataFrame, ends: DataFrame) -> DataFrame:
                 "train",
                 lambda t, i: F.when(
                     t,
-                    F.size(F.filter(F.try_element_at("_ends", i), lambda e: e < sample_ix)),
+                    F.size(F.filter(F.get("_ends", i), lambda e: e < sample_ix)),
                 ).otherwise(-1),
             ),
         )

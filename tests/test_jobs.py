@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelsmith.design import Design
+from panelsmith.operators import metrics
 from panelsmith.operators.models.stack import BASES
 from panelsmith.plans import jobs
 from panelsmith.plans.study import Study
@@ -21,6 +22,8 @@ def test_all_models(spark, sf_dir, tmp_path):
     assert all(0 <= r["MCE"] <= 1 and r["train_s"] > 0 for r in rows)
     assert min(r["MCE"] for r in rows if r["model"] == "SuperLearner") < 0.35
     assert {r["base"] for r in weights.collect()} == {b for b, _ in BASES}
+    wide = metrics.with_weight_columns(table, weights, [b for b, _ in BASES])
+    assert wide.where("SL_w_rf is not null").select("model").distinct().collect()[0][0] == "SuperLearner"
     made = jobs.summaries(table, weights, (5,))
     assert made["summary"].count() == len(jobs.MODELS)
     assert made["weights"].columns == ["model", "5"]
