@@ -66,7 +66,7 @@ def cell_rows(roles: DataFrame, arrays: DataFrame, pos: str) -> DataFrame:
     if "fold" in roles.columns:
         fields["fold"] = "fold"
     rows = roles.select(
-        "sample_ix", "class", "features", F.posexplode(F.arrays_zip(*fields)).alias("slot", "_r")
+        "sample_ix", "class", "features", F.posexplode_outer(F.arrays_zip(*fields)).alias("slot", "_r")
     )
     if "test" in fields:
         rows = rows.where("_r.train or _r.test")

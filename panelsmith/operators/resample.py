@@ -84,14 +84,18 @@ def with_roles(samples: DataFrame, cuts: DataFrame, design: Design) -> DataFrame
 
 
 def by_slot(roles: DataFrame, *extra: str) -> DataFrame:
-    """One row per (slot, sample): slot, in_train[, fold]."""
+    """One row per (slot, sample): slot, in_train[, fold].
+
+    The arrays are never empty; the outer form keeps the optimizer from adding a
+    filter on their size, which would compute every draw key twice.
+    """
     if "fold" in roles.columns:
         zipped = F.arrays_zip("train", "fold")
         picked = [F.col("_role.train").alias("in_train"), F.col("_role.fold").alias("fold")]
     else:
         zipped = F.col("train")
         picked = [F.col("_role").alias("in_train")]
-    return roles.select("sample_ix", "class", *extra, F.posexplode(zipped).alias("slot", "_role")).select(
+    return roles.select("sample_ix", "class", *extra, F.posexplode_outer(zipped).alias("slot", "_role")).select(
         "slot", "sample_ix", "class", *extra, *picked
     )
 
