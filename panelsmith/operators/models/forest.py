@@ -59,6 +59,6 @@ def predict(
         )
 
     with ThreadPool(at_once) as pool:
-        parts = pool.map(inheritable_thread_target(one), cells)
+        parts = pool.map(inheritable_thread_target(train.sparkSession)(one), cells)
     scored = reduce(DataFrame.unionByName, parts)
     return decided(scored, name, design)

@@ -51,3 +51,13 @@ def test_stage_outputs(spark, sf_dir, tmp_path):
 def test_stability_job(spark, sf_dir):
     got = jobs.stability(embedding_samples(spark, sf_dir, "planted"), n_reps=3, n_splits=3, k_list=(5, 10)).collect()
     assert len(got) == 8 and all(0 <= r["Value"] <= 1 for r in got)
+
+
+def test_imbalanced_stack(spark, sf_dir):
+    study = Study(
+        embedding_samples(spark, sf_dir, "imbalanced"), Design(n_splits=1), k_list=(5,), trees=5, imbalanced=True
+    )
+    table, weights = jobs.evaluate(study, 2, ("SuperLearner",))
+    row = table.collect()
+    assert len(row) == 1 and row[0]["stage"] == 2 and 0 <= row[0]["MCE"] <= 1
+    assert weights.count() == len(BASES)

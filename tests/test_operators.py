@@ -262,3 +262,17 @@ def test_speed_up_ignores_unknown_cores(spark):
     got = {r["cores"]: r["speed_up"] for r in runtime.speed_up(clock).collect()}
     assert got == {None: 0.4, 4: 4.0, 1: 1.0}
     assert all(r["speed_up"] is None for r in runtime.speed_up(clock.withColumn("wall_clock_s", F.lit(0.0))).collect())
+
+
+def test_folds_of_oversampled_rows(spark):
+    from panelsmith.operators.cells import fold_rows
+
+    ids = [*range(30), *range(-1, -13, -1)]
+    labels = ["Cancer" if i < 0 or i % 5 == 2 else "Control" for i in ids]
+    rows = spark.createDataFrame([(0, 3, i, c) for i, c in zip(ids, labels)], "slot int, K int, sample_ix long, class string")
+    got = {r["sample_ix"]: r["fold"] for r in fold_rows(rows).collect()}
+    seen = list(dict.fromkeys(labels))
+    codes = sorted(seen.index(c) for c in labels)
+    for k, c in enumerate(seen):
+        alloc = [codes[f::5].count(k) for f in range(5)]
+        assert [got[i] for i, l in zip(ids, labels) if l == c] == [f for f in range(5) for _ in range(alloc[f])]
