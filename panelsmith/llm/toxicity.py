@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelsmith.llm.common import WordHashes, slices, utf8, word_bytes
+from panelsmith.llm.common import REMEMBERED, slices, utf8, word_bytes
 from panelsmith.session import settle
 
 
+#: Bytes of the beginnings of a word that have an embedding of their own, next to the whole word.
+BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
+
+
 @dataclass(frozen=True)
 class Shape:
     buckets: int = 1 << 15
@@ -30,7 +35,7 @@ class Shape:
 
 @dataclass
 class Network:
-    """Embedding, filters of every width, and the output weights. Bucket 0 stands for the end of a text."""
+    """Embedding, filters of every width, and the output weights. Bucket 0 is empty and stays zero."""
 
     shape: Shape
     embedding: np.ndarray
@@ -39,46 +44,63 @@ class Network:
     out: np.ndarray
     out_bias: float = 0.0
     prior_shift: float = 0.0
-    tables: list[np.ndarray] = field(default_factory=list)
 
     @staticmethod
     def fresh(shape: Shape) -> Network:
         rng = np.random.default_rng(shape.seed)
-        embedding = rng.normal(0, 0.3, (shape.buckets, shape.dims)).astype(np.float32)
+        embedding = rng.normal(0, 0.1, (shape.buckets, shape.dims)).astype(np.float32)
         embedding[0] = 0
         taps = [rng.normal(0, (w * shape.dims) ** -0.5, (w, shape.dims, shape.filters)).astype(np.float32) for w in shape.widths]
         bias = [np.zeros(shape.filters, np.float32) for _ in shape.widths]
         return Network(shape, embedding, taps, bias, np.zeros(len(shape.widths) * shape.filters, np.float32))
 
-    def ready(self) -> Network:
-        """With the product of every bucket and tap looked up rather than computed for each word."""
-        self.tables = [np.stack([self.embedding @ tap for tap in taps]) for taps in self.taps]
-        return self
-
-    def scores(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Scores of texts laid out one after the other; text i begins at starts[i] and ends with a bucket 0."""
+    def scores(self, texts: list[bytes], features: WordFeatures) -> np.ndarray:
+        """Scores of whole texts. Every distinct word meets the filters once; its products are then looked up."""
+        at, starts, table = laid_out(texts, features)
+        e = self.embedding[table].sum(axis=1)
         pooled = []
-        for width, table, bias in zip(self.shape.widths, self.tables, self.bias):
-            z = table[0][words]
+        for width, taps, bias in zip(self.shape.widths, self.taps, self.bias):
+            z = (e @ taps[0])[at]
             for k in range(1, width):
-                ahead = np.zeros_like(words)
-                ahead[:-k] = words[k:]
-                z += table[k][ahead]
+                z[:-k] += (e @ taps[k])[at[k:]]
             pooled.append(np.maximum(np.maximum.reduceat(z, starts, axis=0) + bias, 0))
         logit = np.concatenate(pooled, axis=1) @ self.out + self.out_bias + self.prior_shift
         return 1 / (1 + np.exp(-logit.astype(np.float64)))
 
 
-def buckets_of(texts: list[bytes], words: WordHashes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word buckets of all texts, each closed by as many zeros as no filter can look across, and where each begins."""
-    split = [word_bytes(t).split() for t in texts]
+class WordFeatures(dict):
+    """Word to the buckets whose embeddings add up to its own: the word's and those of its beginnings."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED // 4:
+            self.clear()
+        parts = [b"=" + word, *(word[:n] for n in BEGINNINGS if len(word) >= n)]
+        value = np.zeros(1 + len(BEGINNINGS), np.int32)
+        value[: len(parts)] = [xxhash.xxh64_intdigest(p, 9) % (self.buckets - 1) + 1 for p in parts]
+        value = self[word] = value.tobytes()
+        return value
+
+
+def laid_out(texts: list[bytes], features: WordFeatures) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, one text after the other: places in a table of distinct words, where each text begins, the table.
+
+    A text is closed by as many empty words as no filter can look across.
+    """
+    split = [word_bytes(t.decode().lower().encode()).split() for t in texts]
+    number: dict[bytes, int] = {}
     n = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter((words[w] for ws in split for w in ws), np.uint64, int(n.sum()))
+    flat = np.fromiter((number.setdefault(w, len(number) + 1) for ws in split for w in ws), np.int64, int(n.sum()))
+    known = b"".join([features[w] for w in number])
+    table = np.frombuffer(known, np.int32).reshape(-1, 1 + len(BEGINNINGS))
+    table = np.concatenate([np.zeros((1, 1 + len(BEGINNINGS)), np.int32), table])
     starts = np.cumsum(n + 2) - (n + 2)
-    out = np.zeros(int((n + 2).sum()), np.int32)
-    at = np.arange(len(flat)) + np.repeat(2 * np.arange(len(n)), n)
-    out[at] = (flat % np.uint64(buckets - 1)).astype(np.int32) + 1
-    return out, starts
+    out = np.zeros(int((n + 2).sum()), np.int64)
+    out[np.arange(len(flat)) + np.repeat(2 * np.arange(len(n)), n)] = flat
+    return out, starts, table
 
 
 def train(texts: list[bytes], labels: np.ndarray, shape: Shape = Shape(), positive_share: float | None = None) -> Network:
@@ -87,11 +109,12 @@ def train(texts: list[bytes], labels: np.ndarray, shape: Shape = Shape(), positi
     if not len(texts) or not 0 < labels.sum() < len(labels):
         share = min(max(float(labels.mean()) if len(labels) else 0.0, 1e-6), 1 - 1e-6)
         net.out_bias = float(np.log(share / (1 - share)))
-        return net.ready()
-    hashes = WordHashes()
+        return net
+    features = WordFeatures(shape.buckets)
     docs = []
     for t in texts:
-        docs.append(buckets_of([t], hashes, shape.buckets)[0])
+        at, _, table = laid_out([t], features)
+        docs.append(table[at])
     share = float(labels.mean())
     net.out_bias = float(np.log(share / (1 - share)))
     dense = [*net.taps, *net.bias, net.out]
@@ -107,7 +130,7 @@ def train(texts: list[bytes], labels: np.ndarray, shape: Shape = Shape(), positi
             words = np.concatenate([docs[i] for i in part])
             sizes = np.array([len(docs[i]) for i in part])
             starts = np.cumsum(sizes) - sizes
-            e = net.embedding[words]
+            e = net.embedding[words].sum(axis=1)
             pooled, where = [], []
             for width, taps, bias in zip(shape.widths, net.taps, net.bias):
                 z = e @ taps[0]
@@ -132,7 +155,7 @@ def train(texts: list[bytes], labels: np.ndarray, shape: Shape = Shape(), positi
                 for k in range(width):
                     at = np.minimum(top + k, len(words) - 1)
                     grad[k] = np.einsum("bf,bfd->df", g, e[at])
-                    e_rows.append(words[at].ravel())
+                    e_rows.append(words[at].reshape(-1, words.shape[1]))
                     e_grads.append((g[..., None] * taps[k].T[None]).reshape(-1, shape.dims))
                 grads.append(grad)
                 b_grads.append(g.sum(axis=0))
@@ -147,20 +170,20 @@ def train(texts: list[bytes], labels: np.ndarray, shape: Shape = Shape(), positi
             rows = np.concatenate(e_rows)
             moved, inverse = np.unique(rows, return_inverse=True)
             g = np.zeros((len(moved), shape.dims), np.float32)
-            np.add.at(g, inverse, np.concatenate(e_grads))
+            np.add.at(g, inverse.ravel(), np.repeat(np.concatenate(e_grads), rows.shape[1], axis=0))
             e_second[moved] += (g * g).mean(axis=1)
             net.embedding[moved] -= 3 * rate * g / (np.sqrt(e_second[moved])[:, None] + 1e-8)
             net.embedding[0] = 0
     if positive_share is not None and 0 < positive_share < 1:
         net.prior_shift = float(np.log(positive_share / (1 - positive_share)) - np.log(share / (1 - share)))
-    return net.ready()
+    return net
 
 
 def scored(docs: DataFrame, net: Network, text_col: str, column: str) -> DataFrame:
     """The rows with the score of their whole text; a null text counts as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
-    hashes = WordHashes()
+    known: dict[int, WordFeatures] = {}
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +191,8 @@ def scored(docs: DataFrame, net: Network, text_col: str, column: str) -> DataFra
         for whole in batches:
             for batch in slices(whole, text_col, 4_000_000):
                 texts = [t or b"" for t in utf8(batch.column(batch.schema.get_field_index(text_col)))]
-                words, starts = buckets_of(texts, hashes, model.shape.buckets)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(words, starts))], names=names)
+                features = known.setdefault(0, WordFeatures(model.shape.buckets))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(texts, features))], names=names)
 
     return docs.mapInArrow(run, schema)
 
