@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,12 @@ class WordHashes(dict):
         return value
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """The hashes of this worker, kept from task to task."""
+    return WordHashes()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit integers."""
     x = x ^ (x >> np.uint64(30))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import WordHashes, bucket_links, components, mixed, same, shared_buckets, slices, text_key, utf8, word_bytes
+from panelsmith.llm.common import WordHashes, bucket_links, components, mixed, same, shared_buckets, slices, text_key, utf8, word_bytes, word_hashes
 from panelsmith.session import settle
 
 BANDS, ROWS = 20, 4
@@ -113,12 +113,11 @@ def similar_texts(
 ) -> DataFrame:
     """(node, root) of all texts that have a near-duplicate of another text; node is the text's 64-bit key."""
     texts = docs.select(text_key(text_col).alias("node"), F.col(text_col).alias("text")).where("text is not null")
-    hashes = WordHashes()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 3_000_000):
-                row, value, count = shingles(utf8(batch.column(1)), hashes, size)
+                row, value, count = shingles(utf8(batch.column(1)), word_hashes(), size)
                 weight = count.astype(np.float64) if weights == "count" else np.ones(len(row))
                 keys = band_keys(dart_signatures(row, value, weight, batch.num_rows, bands * rows), bands, rows)
                 some = np.flatnonzero(np.bincount(row, minlength=batch.num_rows))
@@ -133,7 +132,7 @@ def similar_texts(
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 3_000_000):
-                row, value, count = shingles(utf8(batch.column(1)), hashes, size)
+                row, value, count = shingles(utf8(batch.column(1)), word_hashes(), size)
                 ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
                 if weights == "count":
                     # the j-th repeat of a shingle is an element of its own, so plain Jaccard is the weighted one

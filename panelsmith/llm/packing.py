@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,11 +25,13 @@ GROUP_ROWS = 8192
 class PieceEncoder:
     """Token ids of texts by a tokenizer that never joins characters across white space.
 
-    Texts are cut at ASCII white space, and every distinct piece is encoded by the tokenizer once (while it is
-    remembered). `checked` at the start compares whole-text encoding with the pieces on the caller's texts.
+    Texts are cut at ASCII white space, and every distinct piece is encoded by the tokenizer once, while it is
+    remembered.
     """
 
     def __init__(self, path: str):
+        # tasks are the parallelism; a pool of threads in each of them only gets in the way
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,7 +40,7 @@ class PieceEncoder:
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         pieces = [t.split() for t in texts]
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED // 2:
             known.clear()
         new = list({p for ps in pieces for p in ps if p not in known})
         for start in range(0, len(new), 20_000):
@@ -46,6 +50,12 @@ class PieceEncoder:
         return [np.frombuffer(b"".join([known[p] for p in ps]), "<u4") for ps in pieces]
 
 
+@lru_cache(maxsize=2)
+def piece_encoder(path: str) -> PieceEncoder:
+    """The encoder of this worker, kept from task to task."""
+    return PieceEncoder(path)
+
+
 class Tier:
     """Waiting pieces by length, with a bit for every length at hand."""
 
@@ -129,15 +139,13 @@ def pack(
     groups = max(1, math.ceil(docs.count() / group_rows))
     largest = tiers[-1]
     end = np.array([] if end_id is None else [end_id], "<u4")
-    encoders: dict[str, PieceEncoder] = {}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in encoders:
-            encoders[tokenizer] = PieceEncoder(tokenizer)
+        encoder = piece_encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4_000_000):
                 totals, crcs, rests = [], [], []
-                for ids in encoders[tokenizer].ids(utf8(batch.column(1))):
+                for ids in encoder.ids(utf8(batch.column(1))):
                     ids = np.concatenate([ids, end])
                     full = len(ids) // largest
                     totals.append(len(ids))

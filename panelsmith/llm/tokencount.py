@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 RULES = ("first", "most", "share")
 
 
+@lru_cache(maxsize=2)
 def rank_encoding(path: str):
     """tiktoken encoding of a file of ranks; id -> bytes has no gaps, so every token's length is known."""
     import tiktoken
@@ -73,16 +75,13 @@ def section_tokens(
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     mark = re.compile(re.escape(separator.encode()))
-    ready: dict[str, tuple] = {}
     schema = (
         f"doc_id {id_type}, section int, kind string, start long, stop long, n_tokens double, "
         "n_crossing long, doc_tokens long"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks not in ready:
-            ready[ranks] = rank_encoding(ranks)
-        encoding, lengths = ready[ranks]
+        encoding, lengths = rank_encoding(ranks)
         for whole in batches:
             for batch in slices(whole, "text", 4_000_000):
                 of, section, start, stop, tokens, crossing, total = [], [], [], [], [], [], []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,12 @@ class WordFeatures(dict):
         return value
 
 
+@lru_cache(maxsize=1)
+def word_features(buckets: int) -> WordFeatures:
+    """The features of this worker, kept from task to task."""
+    return WordFeatures(buckets)
+
+
 def laid_out(texts: list[bytes], features: WordFeatures) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts, one text after the other: places in a table of distinct words, where each text begins, the table.
 
@@ -183,7 +190,6 @@ def scored(docs: DataFrame, net: Network, text_col: str, column: str) -> DataFra
     """The rows with the score of their whole text; a null text counts as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
-    known: dict[int, WordFeatures] = {}
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +197,7 @@ def scored(docs: DataFrame, net: Network, text_col: str, column: str) -> DataFra
         for whole in batches:
             for batch in slices(whole, text_col, 4_000_000):
                 texts = [t or b"" for t in utf8(batch.column(batch.schema.get_field_index(text_col)))]
-                features = known.setdefault(0, WordFeatures(model.shape.buckets))
+                features = word_features(model.shape.buckets)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(texts, features))], names=names)
 
     return docs.mapInArrow(run, schema)
