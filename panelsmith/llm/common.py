@@ -139,21 +139,21 @@ def bucket_links(live: DataFrame, linked: Callable[[DataFrame], DataFrame], name
     `live` comes from shared_buckets; `linked` keeps those of the pairs (a, b) that are truly similar. In each
     round every bucket elects a few heads and its members are compared with them. Whoever matches a
     head leaves the bucket with the heads; the others go on among themselves, with four times the heads,
-    until every bucket is used up. Groups of copies are gone after one round whatever their size; no
-    member is left uncompared.
+    until every bucket is used up or linked throughout. Members that are linked already, by whatever
+    way, are not compared; no other member is left out.
     """
     edges: DataFrame | None = None
     tried: DataFrame | None = None
     heads_each = 1
     order = F.xxhash64("node", F.lit(11))
+    live = live.withColumn("root", F.col("node"))
     while not live.isEmpty():
         lot = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(heads_each))
-        heads = live.groupBy("key", lot.alias("lot")).agg(F.min_by("node", order).alias("head")).select("key", "head")
-        met = live.join(heads, "key").where("node <> head")
-        met = settle(
-            met.select("key", "node", F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")),
-            f"{name}-met",
-        )
+        heads = live.groupBy("key", lot.alias("lot")).agg(F.min_by(F.struct("node", "root"), order).alias("head"))
+        heads = heads.select("key", F.col("head.node").alias("head"), F.col("head.root").alias("head_root"))
+        met = live.join(heads, "key").where("root <> head_root")
+        met = met.select("key", "node", F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+        met = settle(met, f"{name}-met")
         pairs = met.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -163,9 +163,13 @@ def bucket_links(live: DataFrame, linked: Callable[[DataFrame], DataFrame], name
         tried = pairs if tried is None else tried.union(pairs)
         gone = met.join(edges, ["a", "b"], "left_semi").select("key", "node")
         gone = gone.union(heads.select("key", F.col("head").alias("node"))).distinct()
-        rest = live.join(gone, ["key", "node"], "left_anti")
-        counts = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        live = settle(rest.join(counts, "key", "left_semi"), f"{name}-live")
+        rest = live.drop("root").join(gone, ["key", "node"], "left_anti")
+        rest = rest.join(settle(components(edges, name), f"{name}-so-far"), "node", "left")
+        rest = settle(rest.select("key", "node", F.coalesce("root", "node").alias("root")), f"{name}-rest")
+        # nothing is left to find among members that are linked already
+        apart = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        apart = apart.where("least <> most").select("key")
+        live = settle(rest.join(apart, "key", "left_semi"), f"{name}-live")
         heads_each *= 4
     if edges is None:
         return live.select(F.col("node").alias("a"), F.col("node").alias("b"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,19 +36,27 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        pieces = [t.split() for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED // 2:
-            known.clear()
-        new = list({p for ps in pieces for p in ps if p not in known})
+        # the vocabulary is in lower case; control strings are told by their case
+        pieces = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.recent) > REMEMBERED // 2:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
+        new = []
+        for p in set().union(*pieces):
+            if p not in recent:
+                if p in older:
+                    recent[p] = older[p]
+                else:
+                    new.append(p)
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[p] for p in ps]), "<u4") for ps in pieces]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
+                recent[p] = array("I", e.ids).tobytes()
+        return [np.frombuffer(b"".join([recent[p] for p in ps]), "<u4") for ps in pieces]
 
 
 @lru_cache(maxsize=2)
