@@ -127,8 +127,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame, name: str) -> DataFrame:
-    """The rows of `members(key, node)`, distinct, whose bucket holds several nodes; written out."""
-    members = settle(members.distinct(), f"{name}-all")
+    """The rows of `members(key, node)` whose bucket holds several of them; written out."""
+    members = settle(members, f"{name}-all")
     counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return settle(members.join(counts, "key").select("key", "node"), f"{name}-live")
 

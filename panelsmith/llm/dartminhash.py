@@ -127,7 +127,7 @@ def similar_texts(
 
     signed = texts.mapInArrow(sign, "node long, keys array<long>")
     # only texts that share a bucket with another text are looked at again
-    members = shared_buckets(signed.select("node", F.explode("keys").alias("key")), "near")
+    members = shared_buckets(signed.select("node", F.explode("keys").alias("key")).distinct(), "near")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

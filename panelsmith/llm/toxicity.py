@@ -64,6 +64,7 @@ class Network:
             z = (e @ taps[0])[at]
             for k in range(1, width):
                 z[:-k] += (e @ taps[k])[at[k:]]
+            z[at == 0] = 0  # nothing is read across the end of a text
             pooled.append(np.maximum(np.maximum.reduceat(z, starts, axis=0) + bias, 0))
         logit = np.concatenate(pooled, axis=1) @ self.out + self.out_bias + self.prior_shift
         return 1 / (1 + np.exp(-logit.astype(np.float64)))
@@ -138,11 +139,13 @@ def train(texts: list[bytes], labels: np.ndarray, shape: Shape = Shape(), positi
             sizes = np.array([len(docs[i]) for i in part])
             starts = np.cumsum(sizes) - sizes
             e = net.embedding[words].sum(axis=1)
+            closing = words[:, 0] == 0
             pooled, where = [], []
             for width, taps, bias in zip(shape.widths, net.taps, net.bias):
                 z = e @ taps[0]
                 for k in range(1, width):
                     z[:-k] += (e @ taps[k])[k:]
+                z[closing] = 0
                 top = np.stack([z[a : a + s].argmax(axis=0) + a for a, s in zip(starts, sizes)])
                 pooled.append(np.take_along_axis(z, top, axis=0) + bias)
                 where.append(top)
@@ -160,7 +163,7 @@ def train(texts: list[bytes], labels: np.ndarray, shape: Shape = Shape(), positi
                 top = where[j]
                 grad = np.zeros_like(taps)
                 for k in range(width):
-                    at = np.minimum(top + k, len(words) - 1)
+                    at = np.where(closing[top], top, np.minimum(top + k, len(words) - 1))
                     grad[k] = np.einsum("bf,bfd->df", g, e[at])
                     e_rows.append(words[at].reshape(-1, words.shape[1]))
                     e_grads.append((g[..., None] * taps[k].T[None]).reshape(-1, shape.dims))
