@@ -21,8 +21,8 @@ def top_genes(freq: DataFrame, top: int = TOP_GENES) -> DataFrame:
 
 
 def metric_lines(metrics: DataFrame) -> DataFrame:
-    """Metrics per split, in split order within a model."""
-    return metrics.select("model", "split", *METRICS).orderBy("model", "split")
+    """Metrics per split, in split order within a model and panel size."""
+    return metrics.select("model", "K", "split", *METRICS).orderBy("model", "K", "split")
 
 
 def melted(metrics: DataFrame, ids: Sequence[str], values: Sequence[str] = METRICS) -> DataFrame:

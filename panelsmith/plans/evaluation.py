@@ -75,8 +75,10 @@ class CellSet:
     def lda(self) -> DataFrame:
         return lda.predict(self.oversampled, self.test, self.design)
 
-    def naive_bayes(self) -> DataFrame:
-        models = settle(nb.fit_models(self.fit, self.panels, self.imbalanced), "nb")
+    def naive_bayes(self, weighted: bool | None = None) -> DataFrame:
+        """Balanced priors belong to the classifier on its own; inside the stack priors are those of the data."""
+        weighted = self.imbalanced if weighted is None else weighted
+        models = settle(nb.fit_models(self.fit, self.panels, weighted), "nb")
         return nb.predict(self.test, models, self.design)
 
     def neighbours(self) -> DataFrame:
@@ -106,7 +108,7 @@ class CellSet:
 
     def base_predictions(self) -> DataFrame:
         """Predictions of the six base models, stored once."""
-        parts = [self.forest(), self.svm(), self.lasso(), self.neighbours(), self.lda(), self.naive_bayes()]
+        parts = [self.forest(), self.svm(), self.lasso(), self.neighbours(), self.lda(), self.naive_bayes(weighted=False)]
         return settle(reduce(DataFrame.unionByName, parts), "base-predictions")
 
 

@@ -14,13 +14,20 @@ from panelsmith.operators.models import stack
 from panelsmith.plans.study import Study
 from panelsmith.session import settle
 from panelsmith.sources import sinks
+from panelsmith.sources.readers import with_row_number
 
 # Model names of the study.
 MODELS = ("LDA", "DLDA", "kNN", "SVM", "RF", "Lasso", "SuperLearner")
 
 
 def clean_raw_table(raw: DataFrame) -> DataFrame:
-    """Raw labelled table to Samples | Group | features."""
+    """Raw labelled table, as a reader gives it, to Samples | Group | features.
+
+    A table without an id column is numbered in source order first.
+    """
+    columns = [c for c in raw.columns if c != "_row"]
+    if "_row" not in raw.columns and clean.pick_header(columns, clean.ID_HEADERS, clean.ID_PARTS) is None:
+        raw = with_row_number(raw)
     return clean.labelled_table(raw)
 
 

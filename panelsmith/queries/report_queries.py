@@ -180,7 +180,7 @@ def study_metrics(spark, sf_dir):
     return s.split_metrics(p)
 
 
-@query(f'WITH {BOTH_SQL} SELECT model, split, round("MCE", 6) AS "MCE", round("Sensitivity", 6) AS "Sensitivity", round("Specificity", 6) AS "Specificity" FROM metrics')
+@query(f'WITH {BOTH_SQL} SELECT model, "K", split, round("MCE", 6) AS "MCE", round("Sensitivity", 6) AS "Sensitivity", round("Specificity", 6) AS "Specificity" FROM metrics')
 def metric_lines(spark, sf_dir):
     return rounded(figures.metric_lines(study_metrics(spark, sf_dir)), "MCE", "Sensitivity", "Specificity")
 
