@@ -98,19 +98,20 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8_000_000) -> Ite
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Distributed union-find: (node, root) for every node of `edges(a, b)`; root is the smallest node.
 
-    Alternates large and small stars until nothing moves. Every round is a grouped minimum and a join on
-    the node, so a star of any size is dealt out by its leaves and no component is gathered anywhere.
+    Alternates large and small stars until only stars are left: no node has two parents or is both parent and
+    child. Every round is a grouped minimum and a join on the node, so a star of any size is dealt out by
+    its leaves and no component is gathered anywhere.
     """
     a, b = F.col("a"), F.col("b")
     now = settle(
         edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), f"{name}-edges"
     )
-
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before = state(now)
-    while before[0]:
+    while True:
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
+        ends = ends.union(now.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("child").alias("ups"), F.max("parent").alias("parent"))
+        if ends.where("ups > 1 or (ups = 1 and parent = 1)").isEmpty():
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -118,10 +119,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = settle(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-stars")
-        after = state(now)
-        if after == before:
-            break
-        before = after
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -133,16 +130,18 @@ def shared_buckets(members: DataFrame, name: str) -> DataFrame:
     return settle(members.join(counts, "key").select("key", "node"), f"{name}-live")
 
 
-def bucket_links(live: DataFrame, linked: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """Edges (a, b) among nodes that share a bucket, found without emitting the pairs within a bucket.
+def bucket_components(live: DataFrame, near: Callable[[DataFrame], DataFrame], reach: float, name: str) -> DataFrame:
+    """(node, root) of nodes linked through shared buckets, found without emitting the pairs within a bucket.
 
-    `live` comes from shared_buckets; `linked` keeps those of the pairs (a, b) that are truly similar. In each
-    round every bucket elects a few heads and its members are compared with them. Whoever matches a
-    head leaves the bucket with the heads; the others go on among themselves, with four times the heads,
-    until every bucket is used up or linked throughout. Members that are linked already, by whatever
-    way, are not compared; no other member is left out.
+    `live` comes from shared_buckets. `near` returns those of the pairs (a, b) whose distance d is at most twice
+    `reach`, the greatest distance of a link. The distance has to obey the triangle inequality, as
+    Jaccard's does. In each round every bucket elects a few heads and all its members are compared with them,
+    unless they are of one component already. The heads then leave. So does a member linked to a head at d, if no unlinked
+    member lies within d + reach of that head: whatever the member could be linked to would lie there. The others go on with four
+    times the heads, until each bucket is used up or of one component. No link is left out but those within a component.
     """
-    edges: DataFrame | None = None
+    stars: DataFrame | None = None
+    known: DataFrame | None = None
     tried: DataFrame | None = None
     heads_each = 1
     order = F.xxhash64("node", F.lit(11))
@@ -152,25 +151,28 @@ def bucket_links(live: DataFrame, linked: Callable[[DataFrame], DataFrame], name
         heads = live.groupBy("key", lot.alias("lot")).agg(F.min_by(F.struct("node", "root"), order).alias("head"))
         heads = heads.select("key", F.col("head.node").alias("head"), F.col("head.root").alias("head_root"))
         met = live.join(heads, "key").where("root <> head_root")
-        met = met.select("key", "node", F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+        met = met.select("key", "node", "head", F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
         met = settle(met, f"{name}-met")
         pairs = met.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, f"{name}-pairs")
-        found = settle(linked(pairs), f"{name}-links")
-        edges = found if edges is None else edges.union(found)
+        found = settle(near(pairs), f"{name}-found")
         tried = pairs if tried is None else tried.union(pairs)
-        gone = met.join(edges, ["a", "b"], "left_semi").select("key", "node")
+        known = found if known is None else known.union(found)
+        links = found.where(F.col("d") <= reach).select("a", "b")
+        links = links if stars is None else links.union(stars)
+        stars = settle(components(links, name), f"{name}-so-far")
+        seen = met.join(known, ["a", "b"]).select("key", "node", "head", "d")
+        fringe = seen.where(F.col("d") > reach).groupBy("key", "head").agg(F.min("d").alias("nearest"))
+        bound_by = seen.where(F.col("d") <= reach).join(fringe, ["key", "head"], "left")
+        gone = bound_by.where(F.col("nearest").isNull() | (F.col("d") + reach < F.col("nearest"))).select("key", "node")
         gone = gone.union(heads.select("key", F.col("head").alias("node"))).distinct()
-        rest = live.drop("root").join(gone, ["key", "node"], "left_anti")
-        rest = rest.join(settle(components(edges, name), f"{name}-so-far"), "node", "left")
+        rest = live.drop("root").join(gone, ["key", "node"], "left_anti").join(stars, "node", "left")
         rest = settle(rest.select("key", "node", F.coalesce("root", "node").alias("root")), f"{name}-rest")
-        # nothing is left to find among members that are linked already
+        # nothing is left to find in buckets of one component
         apart = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
         apart = apart.where("least <> most").select("key")
         live = settle(rest.join(apart, "key", "left_semi"), f"{name}-live")
         heads_each *= 4
-    if edges is None:
-        return live.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    return edges
+    return live.select("node", "root") if stars is None else stars

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import WordHashes, bucket_links, components, mixed, same, shared_buckets, slices, text_key, utf8, word_bytes, word_hashes
+from panelsmith.llm.common import WordHashes, bucket_components, mixed, same, shared_buckets, slices, text_key, utf8, word_bytes, word_hashes
 from panelsmith.session import settle
 
 BANDS, ROWS = 20, 4
@@ -146,26 +146,30 @@ def similar_texts(
     sets = texts.join(wanted, "node", "left_semi").mapInArrow(elements, "node long, elements binary")
     sets = settle(sets.dropDuplicates(["node"]), "near-sets")
 
+    reach = 1 - threshold + 1e-9  # no rounding: similarities below the threshold by less than a billionth count
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, distance = [], []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+                if 1 - min(len(x), len(y)) / max(len(x), len(y)) > 2 * reach:
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                # no rounding: both / union >= threshold up to a billionth
-                if both >= threshold * (len(x) + len(y) - both) - 1e-9:
+                d = 1 - both / (len(x) + len(y) - both)
+                if d <= 2 * reach:
                     keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+                    distance.append(d)
+            ids = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(distance, pa.float64())], names=["a", "b", "d"])
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return both.mapInArrow(compare, "a long, b long")
+        return both.mapInArrow(compare, "a long, b long, d double")
 
-    return components(bucket_links(members, linked, "near"), "near")
+    return bucket_components(members, near, reach, "near")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

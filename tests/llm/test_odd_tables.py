@@ -5,11 +5,13 @@ from collections import Counter
 
 import pytest
 from conftest import prose, texts
+from pyspark.sql import functions as F
 from test_queries import contaminated_by_hand, private_by_hand, quality_by_hand
 
 from panelsmith.llm import (
     chat, dartminhash, decontaminate, linededup, packing, pii, quality, queries, sharding, tokencount, toxicity,
 )
+from panelsmith.llm.common import bucket_components
 
 ROWS = texts()
 
@@ -219,3 +221,26 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert len({r.score for r in out if r.doc_id in (5, 6, 7)}) == 1
     assert toxicity.toxicity(no_docs, labels, shape=shape).count() == 0
     assert len({r.score for r in toxicity.toxicity(odd_docs, labels.limit(0), shape=shape).collect()}) == 1
+
+
+def test_bucket_components_lose_no_link(spark):
+    """Points on a line, all in one bucket: a chain whose links do not involve the elected heads is found whole."""
+    points = [0, 2, 4, 6, 8, 11, 13, 13, 15, 40, 41, 43, 46, 48, 90]
+    place = spark.createDataFrame(list(enumerate(points)), "node long, p long")
+    live = place.select(F.lit(1).alias("key"), "node")
+
+    def near(pairs):
+        a = place.select(F.col("node").alias("a"), F.col("p").alias("pa"))
+        b = place.select(F.col("node").alias("b"), F.col("p").alias("pb"))
+        d = F.abs(F.col("pa") - F.col("pb")).cast("double").alias("d")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", d).where("d <= 4")
+
+    got = {r["node"]: r["root"] for r in bucket_components(live, near, 2.0, "line").collect()}
+    want, start = {}, 0
+    for i, p in enumerate(points):
+        if i and p - points[i - 1] > 2:
+            start = i
+        want[i] = start
+    alone = {i for i in want if sum(v == want[i] for v in want.values()) == 1}
+    assert {n: r for n, r in got.items() if n not in alone} == {n: r for n, r in want.items() if n not in alone}
+    assert all(got.get(n, n) == n for n in alone)
