@@ -123,56 +123,80 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: Buckets of so many members or more are crowded. What is done for them saves comparisons and changes no result.
+CROWDED = 16
+
+
 def shared_buckets(members: DataFrame, name: str) -> DataFrame:
-    """The rows of `members(key, node)` whose bucket holds several of them; written out."""
+    """The rows of `members(key, node)` whose bucket holds several of them, with whether it is crowded; written out."""
     members = settle(members, f"{name}-all")
-    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return settle(members.join(counts, "key").select("key", "node"), f"{name}-live")
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    live = members.join(counts, "key").select("key", "node", (F.col("n") >= CROWDED).alias("crowded"))
+    return settle(live, f"{name}-shared")
 
 
-def bucket_components(live: DataFrame, near: Callable[[DataFrame], DataFrame], reach: float, name: str) -> DataFrame:
+def linkable(live: DataFrame, sizes: DataFrame, threshold: float, name: str, elements: DataFrame | None = None) -> DataFrame:
+    """The rows of shared_buckets as bucket_components wants them: with size, common and mine; written out.
+
+    `sizes(node, size)` has the size of every node's set. `elements(node, element)` lists the elements of the nodes
+    in crowded buckets. An element that only one of them has is in no intersection there, so `common`, the number of others, bounds
+    every intersection. Rows that cannot reach the threshold by it are left out. `mine` has all crowded buckets of a node.
+    """
+    rows = live.join(sizes, "node")
+    if elements is None:
+        rows = rows.withColumn("common", F.col("size"))
+    else:
+        alone = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+        alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+        rows = rows.join(settle(alone, f"{name}-alone"), "node", "left")
+        common = F.col("size") - F.when(F.col("crowded"), F.coalesce("alone", F.lit(0))).otherwise(0)
+        rows = rows.withColumn("common", common).where(F.col("common") >= F.col("size") * (threshold - 1e-9))
+    mine = live.where("crowded").groupBy("node").agg(F.collect_list("key").alias("mine"))
+    rows = rows.join(mine, "node", "left")
+    return settle(rows.select("key", "node", "crowded", "size", "common", F.when(F.col("crowded"), F.col("mine")).alias("mine")), f"{name}-live")
+
+
+def bucket_components(live: DataFrame, near: Callable[[DataFrame], DataFrame], threshold: float, name: str) -> DataFrame:
     """(node, root) of nodes linked through shared buckets, found without emitting the pairs within a bucket.
 
-    `live` comes from shared_buckets. `near` returns those of the pairs (a, b) whose distance d is at most twice
-    `reach`, the greatest distance of a link. The distance has to obey the triangle inequality, as
-    Jaccard's does. In each round every bucket elects a few heads and all its members are compared with them,
-    unless they are of one component already. The heads then leave. So does a member linked to a head at d, if no unlinked
-    member lies within d + reach of that head: whatever the member could be linked to would lie there. The others go on with four
-    times the heads, until each bucket is used up or of one component. No link is left out but those within a component.
+    `live` comes from linkable; `near` returns the links among pairs (a, b). In each round every bucket elects a few heads, and
+    its members are compared with them, unless they are of one component already or their sizes and common elements rule a
+    link out. The heads then leave, and the others go on with sixteen times the heads, until each bucket is used up or of
+    one component. No link is left out but those within a component. Two nodes may meet in many crowded buckets: they are
+    compared in the least one of those where the head is one. If the member is no longer there, it was a head
+    itself and has been compared with the other.
     """
     stars: DataFrame | None = None
-    known: DataFrame | None = None
     tried: DataFrame | None = None
     heads_each = 1
     order = F.xxhash64("node", F.lit(11))
     live = live.withColumn("root", F.col("node"))
     while not live.isEmpty():
         lot = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(heads_each))
-        heads = live.groupBy("key", lot.alias("lot")).agg(F.min_by(F.struct("node", "root"), order).alias("head"))
-        heads = heads.select("key", F.col("head.node").alias("head"), F.col("head.root").alias("head_root"))
-        met = live.join(heads, "key").where("root <> head_root")
-        met = met.select("key", "node", "head", F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-        met = settle(met, f"{name}-met")
-        pairs = met.select("a", "b").distinct()
+        head = F.struct("node", "root", "size", "common", "crowded")
+        heads = settle(live.groupBy("key", lot.alias("lot")).agg(F.min_by(head, order).alias("head")).select("key", "head.*"), f"{name}-heads")
+        theirs = heads.where("crowded").groupBy("node").agg(F.collect_list("key").alias("theirs"))
+        to = heads.join(theirs, "node", "left").select(
+            "key", F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("size").alias("head_size"),
+            F.col("common").alias("head_common"), F.when(F.col("crowded"), F.col("theirs")).alias("theirs"),
+        )
+        at_most = F.least("common", "head_common")
+        fits = at_most >= (F.col("size") + F.col("head_size") - at_most) * (threshold - 1e-9)
+        first = F.col("mine").isNull() | (live.key == F.array_min(F.array_intersect("mine", "theirs")))
+        met = live.join(to, (live.key == to.key) & (F.col("root") != F.col("head_root")) & fits & first)
+        pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, f"{name}-pairs")
-        found = settle(near(pairs), f"{name}-found")
         tried = pairs if tried is None else tried.union(pairs)
-        known = found if known is None else known.union(found)
-        links = found.where(F.col("d") <= reach).select("a", "b")
-        links = links if stars is None else links.union(stars)
+        links = near(pairs).select("a", "b")
+        links = settle(links if stars is None else links.union(stars), f"{name}-links")
         stars = settle(components(links, name), f"{name}-so-far")
-        seen = met.join(known, ["a", "b"]).select("key", "node", "head", "d")
-        fringe = seen.where(F.col("d") > reach).groupBy("key", "head").agg(F.min("d").alias("nearest"))
-        bound_by = seen.where(F.col("d") <= reach).join(fringe, ["key", "head"], "left")
-        gone = bound_by.where(F.col("nearest").isNull() | (F.col("d") + reach < F.col("nearest"))).select("key", "node")
-        gone = gone.union(heads.select("key", F.col("head").alias("node"))).distinct()
-        rest = live.drop("root").join(gone, ["key", "node"], "left_anti").join(stars, "node", "left")
-        rest = settle(rest.select("key", "node", F.coalesce("root", "node").alias("root")), f"{name}-rest")
+        rest = live.drop("root").join(heads.select("key", "node"), ["key", "node"], "left_anti").join(stars, "node", "left")
+        rest = settle(rest.withColumn("root", F.coalesce("root", "node")), f"{name}-rest")
         # nothing is left to find in buckets of one component
         apart = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
         apart = apart.where("least <> most").select("key")
         live = settle(rest.join(apart, "key", "left_semi"), f"{name}-live")
-        heads_each *= 4
+        heads_each *= 16
     return live.select("node", "root") if stars is None else stars

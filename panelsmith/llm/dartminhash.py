@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import WordHashes, bucket_components, mixed, same, shared_buckets, slices, text_key, utf8, word_bytes, word_hashes
+from panelsmith.llm.common import WordHashes, bucket_components, linkable, mixed, same, shared_buckets, slices, text_key, utf8, word_bytes, word_hashes
 from panelsmith.session import settle
 
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 30, 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,34 +142,38 @@ def similar_texts(
                 sets = [np.sort(value[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "elements"])
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                value = np.frombuffer(held, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), node)), pa.array(value)], names=["node", "element"])
+
     wanted = members.select("node").distinct()
     sets = texts.join(wanted, "node", "left_semi").mapInArrow(elements, "node long, elements binary")
     sets = settle(sets.dropDuplicates(["node"]), "near-sets")
 
-    reach = 1 - threshold + 1e-9  # no rounding: similarities below the threshold by less than a billionth count
+    crowd = sets.join(members.where("crowded").select("node").distinct(), "node", "left_semi")
+    sizes = sets.select("node", (F.octet_length("elements") / 8).cast("long").alias("size"))
+    live = linkable(members, sizes, threshold, "near", crowd.mapInArrow(listed, "node long, element long"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, distance = [], []
+            keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 1 - min(len(x), len(y)) / max(len(x), len(y)) > 2 * reach:
-                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                d = 1 - both / (len(x) + len(y) - both)
-                if d <= 2 * reach:
+                # no rounding: similarities below the threshold by less than a billionth count
+                if both >= (len(x) + len(y) - both) * (threshold - 1e-9):
                     keep.append(i)
-                    distance.append(d)
-            ids = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(distance, pa.float64())], names=["a", "b", "d"])
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     def near(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return both.mapInArrow(compare, "a long, b long, d double")
+        return both.mapInArrow(compare, "a long, b long")
 
-    return bucket_components(members, near, reach, "near")
+    return bucket_components(live, near, threshold, "near")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
