@@ -125,6 +125,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 #: Buckets of so many members or more are crowded. What is done for them saves comparisons and changes no result.
 CROWDED = 16
+#: A set's marks are so many longs: for each of their bits, whether an odd number of its elements falls on it.
+MARKS = [f"m{i}" for i in range(8)]
 
 
 def shared_buckets(members: DataFrame, name: str) -> DataFrame:
@@ -135,36 +137,27 @@ def shared_buckets(members: DataFrame, name: str) -> DataFrame:
     return settle(live, f"{name}-shared")
 
 
-def linkable(live: DataFrame, sizes: DataFrame, threshold: float, name: str, elements: DataFrame | None = None) -> DataFrame:
-    """The rows of shared_buckets as bucket_components wants them: with size, common and mine; written out.
+def linkable(live: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The rows of shared_buckets as bucket_components wants them; written out.
 
-    `sizes(node, size)` has the size of every node's set. `elements(node, element)` lists the elements of the nodes
-    in crowded buckets. An element that only one of them has is in no intersection there, so `common`, the number of others, bounds
-    every intersection. Rows that cannot reach the threshold by it are left out. `mine` has all crowded buckets of a node.
+    `sets(node, size, *MARKS)` has the size and the marks of every node's set; the marks stay with rows of crowded buckets.
+    `mine` has all crowded buckets of a node.
     """
-    rows = live.join(sizes, "node")
-    if elements is None:
-        rows = rows.withColumn("common", F.col("size"))
-    else:
-        alone = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-        alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
-        rows = rows.join(settle(alone, f"{name}-alone"), "node", "left")
-        common = F.col("size") - F.when(F.col("crowded"), F.coalesce("alone", F.lit(0))).otherwise(0)
-        rows = rows.withColumn("common", common).where(F.col("common") >= F.col("size") * (threshold - 1e-9))
     mine = live.where("crowded").groupBy("node").agg(F.collect_list("key").alias("mine"))
-    rows = rows.join(mine, "node", "left")
-    return settle(rows.select("key", "node", "crowded", "size", "common", F.when(F.col("crowded"), F.col("mine")).alias("mine")), f"{name}-live")
+    rows = live.join(sets.select("node", "size", *MARKS), "node").join(mine, "node", "left")
+    crowd = [F.when(F.col("crowded"), F.col(c)).alias(c) for c in ("mine", *MARKS)]
+    return settle(rows.select("key", "node", "crowded", "size", *crowd), f"{name}-live")
 
 
 def bucket_components(live: DataFrame, near: Callable[[DataFrame], DataFrame], threshold: float, name: str) -> DataFrame:
     """(node, root) of nodes linked through shared buckets, found without emitting the pairs within a bucket.
 
-    `live` comes from linkable; `near` returns the links among pairs (a, b). In each round every bucket elects a few heads, and
-    its members are compared with them, unless they are of one component already or their sizes and common elements rule a
-    link out. The heads then leave, and the others go on with sixteen times the heads, until each bucket is used up or of
-    one component. No link is left out but those within a component. Two nodes may meet in many crowded buckets: they are
-    compared in the least one of those where the head is one. If the member is no longer there, it was a head
-    itself and has been compared with the other.
+    `live` comes from linkable; `near` returns the links among pairs (a, b). In each round every bucket elects a few heads,
+    and its members are compared with them, unless they are of one component already or their sizes and marks rule a link
+    out: every bit in which two sets' marks differ stands for an element that only one of them has. The heads then leave,
+    and the others go on with sixteen times the heads, until each bucket is used up or of one component. No link is left
+    out but those within a component. Two nodes may meet in many crowded buckets: they are compared in the least one of
+    those where the head is one. If the member is no longer there, it was a head itself and has met the other.
     """
     stars: DataFrame | None = None
     tried: DataFrame | None = None
@@ -173,15 +166,20 @@ def bucket_components(live: DataFrame, near: Callable[[DataFrame], DataFrame], t
     live = live.withColumn("root", F.col("node"))
     while not live.isEmpty():
         lot = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(heads_each))
-        head = F.struct("node", "root", "size", "common", "crowded")
-        heads = settle(live.groupBy("key", lot.alias("lot")).agg(F.min_by(head, order).alias("head")).select("key", "head.*"), f"{name}-heads")
+        head = F.struct("node", "root", "size", "crowded", *MARKS)
+        heads = live.groupBy("key", lot.alias("lot")).agg(F.min_by(head, order).alias("head"))
+        heads = settle(heads.select("key", "head.*"), f"{name}-heads")
         theirs = heads.where("crowded").groupBy("node").agg(F.collect_list("key").alias("theirs"))
         to = heads.join(theirs, "node", "left").select(
             "key", F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("size").alias("head_size"),
-            F.col("common").alias("head_common"), F.when(F.col("crowded"), F.col("theirs")).alias("theirs"),
+            F.when(F.col("crowded"), F.col("theirs")).alias("theirs"), *[F.col(m).alias(f"head_{m}") for m in MARKS],
+        )
+        # J >= t means min >= t max, and a symmetric difference of (1 - t) / (1 + t) of both sizes at most
+        smaller, larger = F.least("size", "head_size"), F.greatest("size", "head_size")
+        apart = sum(F.bit_count(F.col(m).bitwiseXOR(F.col(f"head_{m}"))) for m in MARKS)
+        fits = (smaller >= larger * (threshold - 1e-9)) & (
+            ~live.crowded | (apart <= (smaller + larger) * ((1 - threshold) / (1 + threshold) + 1e-9))
         )
-        at_most = F.least("common", "head_common")
-        fits = at_most >= (F.col("size") + F.col("head_size") - at_most) * (threshold - 1e-9)
         first = F.col("mine").isNull() | (live.key == F.array_min(F.array_intersect("mine", "theirs")))
         met = live.join(to, (live.key == to.key) & (F.col("root") != F.col("head_root")) & fits & first)
         pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import WordHashes, bucket_components, linkable, mixed, same, shared_buckets, slices, text_key, utf8, word_bytes, word_hashes
+from panelsmith.llm.common import (
+    MARKS, WordHashes, bucket_components, linkable, mixed, same, shared_buckets, slices, text_key, utf8, word_bytes, word_hashes,
+)
 from panelsmith.session import settle
 
 BANDS, ROWS = 30, 6
@@ -129,6 +131,8 @@ def similar_texts(
     # only texts that share a bucket with another text are looked at again
     members = shared_buckets(signed.select("node", F.explode("keys").alias("key")).distinct(), "near")
 
+    bits = 64 * len(MARKS)
+
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 3_000_000):
@@ -139,22 +143,20 @@ def similar_texts(
                     repeat = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     value = mixed(np.repeat(value, count) + repeat.astype(np.uint64) * _ODD)
                     ends = np.concatenate([[0], np.cumsum(count)])[ends]
-                sets = [np.sort(value[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "elements"])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                value = np.frombuffer(held, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), node)), pa.array(value)], names=["node", "element"])
+                sets = [np.sort(value[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+                odd = np.array([np.bincount((s % bits).astype(np.int64), minlength=bits) & 1 for s in sets])
+                marks = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                columns = [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, marks.T)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "elements", *MARKS])
 
     wanted = members.select("node").distinct()
-    sets = texts.join(wanted, "node", "left_semi").mapInArrow(elements, "node long, elements binary")
+    sets = texts.join(wanted, "node", "left_semi").mapInArrow(
+        elements, "node long, elements binary, " + ", ".join(f"{m} long" for m in MARKS)
+    )
     sets = settle(sets.dropDuplicates(["node"]), "near-sets")
 
-    crowd = sets.join(members.where("crowded").select("node").distinct(), "node", "left_semi")
-    sizes = sets.select("node", (F.octet_length("elements") / 8).cast("long").alias("size"))
-    live = linkable(members, sizes, threshold, "near", crowd.mapInArrow(listed, "node long, element long"))
+    sizes = sets.withColumn("size", (F.octet_length("elements") / 8).cast("long"))
+    live = linkable(members, sizes, "near")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
