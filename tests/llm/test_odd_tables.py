@@ -11,7 +11,7 @@ from test_queries import contaminated_by_hand, private_by_hand, quality_by_hand
 from panelsmith.llm import (
     chat, dartminhash, decontaminate, linededup, packing, pii, quality, queries, sharding, tokencount, toxicity,
 )
-from panelsmith.llm.common import bucket_components
+from panelsmith.llm.common import MARKS, bucket_components, linkable
 
 ROWS = texts()
 
@@ -224,23 +224,48 @@ def test_toxicity(spark, odd_docs, no_docs):
 
 
 def test_bucket_components_lose_no_link(spark):
-    """Points on a line, all in one bucket: a chain whose links do not involve the elected heads is found whole."""
-    points = [0, 2, 4, 6, 8, 11, 13, 13, 15, 40, 41, 43, 46, 48, 90]
-    place = spark.createDataFrame(list(enumerate(points)), "node long, p long")
-    live = place.select(F.lit(1).alias("key"), "node")
+    """Runs of 18 numbers, all in two crowded buckets: a chain whose links do not involve the heads is found whole."""
+    points = [0, 2, 4, 6, 8, 11, 13, 13, 15, 40, 41, 43, 46, 48, 90]  # two apart: similarity 0.8
+
+    def marks(p):
+        bits = sum(1 << e for e in range(p, p + 18))
+        return [(bits >> 64 * i & 2**64 - 1) - (bits >> 64 * i + 63 & 1) * 2**64 for i in range(len(MARKS))]
+
+    place = spark.createDataFrame(
+        [(n, p, 18, *marks(p)) for n, p in enumerate(points)], "node long, p long, size long, " + ", ".join(f"{m} long" for m in MARKS)
+    )
+    members = place.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("key"), "node")
+    compared = []
 
     def near(pairs):
+        compared.extend((r.a, r.b) for r in pairs.collect())
         a = place.select(F.col("node").alias("a"), F.col("p").alias("pa"))
         b = place.select(F.col("node").alias("b"), F.col("p").alias("pb"))
-        d = F.abs(F.col("pa") - F.col("pb")).cast("double").alias("d")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", d).where("d <= 4")
+        return pairs.join(a, "a").join(b, "b").where(F.abs(F.col("pa") - F.col("pb")) <= 2).select("a", "b")
 
-    got = {r["node"]: r["root"] for r in bucket_components(live, near, 2.0, "line").collect()}
     want, start = {}, 0
     for i, p in enumerate(points):
         if i and p - points[i - 1] > 2:
             start = i
         want[i] = start
     alone = {i for i in want if sum(v == want[i] for v in want.values()) == 1}
-    assert {n: r for n, r in got.items() if n not in alone} == {n: r for n, r in want.items() if n not in alone}
-    assert all(got.get(n, n) == n for n in alone)
+    for crowded in (True, False):
+        compared.clear()
+        live = linkable(members.withColumn("crowded", F.lit(crowded)), place, "line")
+        got = {r["node"]: r["root"] for r in bucket_components(live, near, 0.8, "line").collect()}
+        assert {n: r for n, r in got.items() if n not in alone} == {n: r for n, r in want.items() if n not in alone}
+        assert all(got.get(n, n) == n for n in alone)
+        assert len(set(compared)) == len(compared)
+        if crowded:  # marks differ in every number that one of the two has, so only links are compared
+            assert all(abs(points[a] - points[b]) <= 2 for a, b in compared)
+
+
+def test_marks_of_lines(spark):
+    """Marks of a set of hashes: a bit is set when an odd number of hashes falls on it."""
+    sets = [[], [0], [-1, 5, 2**62 + 3, -(2**63)], list(range(-300, 300, 7))]
+    rows = spark.createDataFrame([(s,) for s in sets], "s array<long>").select("s", *linededup.marks(F.col("s"))).collect()
+    for r in rows:
+        want = [0] * len(MARKS)
+        for h in r.s:
+            want[h % len(MARKS)] ^= 1 << (h >> 8) % 64
+        assert [r[m] % 2**64 for m in MARKS] == want
