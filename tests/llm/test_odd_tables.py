@@ -193,6 +193,34 @@ def test_similar_lines_reach_brute_force(spark):
     assert len(set(cls.values())) >= 120
 
 
+def jaccard(x, y, size=5):
+    x, y = ({t[i : i + size] for i in range(len(t) - size + 1)} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_long_lines_are_signed_by_all_their_characters(spark):
+    """What two lines share may lie in few words, in one long token, or away from the word starts."""
+    import random
+
+    rng = random.Random(9)
+
+    def token(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+    urls = " ".join(f"https://{token(20)}.example/{token(30)}" for _ in range(16))
+    blob, ends = token(1000), [token(90) for _ in range(18)]
+    pairs = [
+        (f"Links one two: {urls}", f"See also here, sources: {urls}"),
+        (" ".join([*(token(5) for _ in range(16)), blob]), " ".join([*(token(5) for _ in range(16)), blob])),
+        (" ".join(f"{token(4)}{x}" for x in ends), " ".join(f"{token(4)}{x}" for x in ends)),
+    ]
+    assert all(jaccard(a, b) >= 0.8 and len(a.split()) >= 16 for a, b in pairs)
+    lines = [x for p in pairs for x in p]
+    rows = linededup.line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    cls = {r.doc_id: r.class_id for r in rows}
+    assert [cls[2 * k] == cls[2 * k + 1] for k in range(3)] == [True] * 3 and len(set(cls.values())) == 3
+
+
 LOG = [
     (1, 1, "message", 1, "user", "hi \\ <|im_end|>"), (1, 2, "message", 2, "assistant", None), (1, 3, "delta", 2, None, "wro"),
     (1, 4, "delta", 2, None, "ng"), (1, 5, "message", 3, "user", "later"), (1, 6, "regenerate", 2, None, None),
