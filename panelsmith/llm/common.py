@@ -130,8 +130,10 @@ MARKS = [f"m{i}" for i in range(8)]
 
 
 def shared_buckets(members: DataFrame, name: str) -> DataFrame:
-    """The rows of `members(key, node)` whose bucket holds several of them, with whether it is crowded; written out."""
-    members = settle(members, f"{name}-all")
+    """The rows of `members(key, node)` whose bucket holds several of them, with whether it is crowded; written out.
+
+    `members` is read twice: it should come from a written table.
+    """
     counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = members.join(counts, "key").select("key", "node", (F.col("n") >= CROWDED).alias("crowded"))
     return settle(live, f"{name}-shared")

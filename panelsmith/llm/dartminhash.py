@@ -129,7 +129,8 @@ def similar_texts(
 
     signed = texts.mapInArrow(sign, "node long, keys array<long>")
     # only texts that share a bucket with another text are looked at again
-    members = shared_buckets(signed.select("node", F.explode("keys").alias("key")).distinct(), "near")
+    members = settle(signed.select("node", F.explode("keys").alias("key")).distinct(), "near-all")
+    members = shared_buckets(members, "near")
 
     bits = 64 * len(MARKS)
 

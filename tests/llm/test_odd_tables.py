@@ -221,6 +221,27 @@ def test_long_lines_are_signed_by_all_their_characters(spark):
     assert [cls[2 * k] == cls[2 * k + 1] for k in range(3)] == [True] * 3 and len(set(cls.values())) == 3
 
 
+def test_lines_just_above_the_threshold_are_found(spark):
+    import random
+
+    rng = random.Random(21)
+    lines, pairs, made = [], 0, 0
+    while pairs < 600:
+        made += 1
+        words = prose(5000 + made, 20 + made % 21).split()
+        other = list(words)
+        for k in rng.sample(range(len(words)), rng.randrange(1, 6)):
+            other[k] = prose(rng.randrange(10**6), 1)
+        x, y = (f"{' '.join(w)}" for w in (words, other))
+        if 0.80 <= jaccard(x, y) <= 0.83:
+            lines += [x, y]
+            pairs += 1
+    rows = linededup.line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    cls = {r.doc_id: r.class_id for r in rows}
+    found = sum(cls[2 * k] == cls[2 * k + 1] for k in range(pairs))
+    assert found >= 0.99 * pairs, found
+
+
 LOG = [
     (1, 1, "message", 1, "user", "hi \\ <|im_end|>"), (1, 2, "message", 2, "assistant", None), (1, 3, "delta", 2, None, "wro"),
     (1, 4, "delta", 2, None, "ng"), (1, 5, "message", 3, "user", "later"), (1, 6, "regenerate", 2, None, None),
