@@ -278,29 +278,24 @@ def decontaminated(
     has it, is set to the new length of texts that changed. Clean rows, null and empty texts stay as they are.
     """
     automata = item_blocks(benchmark, window, item_id, item_text, block_words)
-    # what a cut brings together is looked at again by every automaton; they are shipped only with rows that need it
-    again = [docs.sparkSession.sparkContext.broadcast(a) for a in automata] if len(automata) <= 4 else []
-    schema = docs.schema
-    names = schema.names
+    names = docs.columns
+    # how often a row was cut, -1 when its last round found nothing
+    carried = T.StructType([*docs.schema.fields, T.StructField("__llm_cut", T.IntegerType())])
 
     def finish(batch, clean, masks, items):
-        at = names.index(text_col)
-        texts = utf8(batch.column(at))
+        at, rounds = names.index(text_col), len(names)
+        texts, cuts = utf8(batch.column(at)), batch.column(rounds).to_pylist()
         keep, changed = [], {}
         for row, (n, mask) in enumerate(masks):
-            if mask is None or not mask.any():
+            hit = mask is not None and mask.any()
+            if not hit:
                 keep.append(row)
                 continue
-            if mask.sum() > most_coverage * n:
+            # only the first round judges a document by its share of hit words
+            if cuts[row] == 0 and mask.sum() > most_coverage * n:
                 continue
-            text, view = texts[row], clean[row]
-            while mask is not None and mask.any():
-                text = without_words(text, view, mask)
-                view = word_bytes(text)
-                words = view.split()
-                spans = [s for a in again for s in a.value.matches(words)[0]]
-                mask = hit_mask(len(words), spans) if spans else None
-            if view.split():
+            text = without_words(texts[row], clean[row], mask)
+            if word_bytes(text).split():
                 keep.append(row)
                 changed[row] = text.decode()
         columns = list(batch.columns)
@@ -311,7 +306,16 @@ def decontaminated(
                 k = names.index(chars_col)
                 old = columns[k].to_pylist()
                 columns[k] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(old)], batch.schema.field(k).type)
-        out = pa.RecordBatch.from_arrays(columns, names=names)
+        # rows cut in this round are looked at again, the others are done
+        columns[rounds] = pa.array([max(c, 0) + 1 if i in changed else -1 for i, c in enumerate(cuts)], pa.int32())
+        out = pa.RecordBatch.from_arrays(columns, names=[*names, "__llm_cut"])
         return out if len(keep) == batch.num_rows else out.take(pa.array(keep, pa.int64()))
 
-    return _matched(docs, text_col, automata, schema, finish)
+    rows, done = docs.withColumn("__llm_cut", F.lit(0)), None
+    while True:
+        rows = settle(_matched(rows, text_col, automata, carried, finish), "decontaminate-round")
+        clean = rows.where("__llm_cut < 0").select(names)
+        done = clean if done is None else done.union(clean)
+        rows = rows.where("__llm_cut > 0")
+        if rows.isEmpty():
+            return done

@@ -52,6 +52,30 @@ def test_contamination(spark, odd_docs, no_docs):
     assert decontaminate.contamination(odd_docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_cuts_are_looked_at_again_with_many_blocks(spark):
+    """Passages pasted into passages are cut out, however many blocks the items need."""
+    items = [(k, prose(700 + k, 14)) for k in range(40)]
+    docs = []
+    for k in range(12):
+        inner, mid, outer = (items[(k + n) % 40][1].split() for n in (0, 5, 9))
+        deep = [*outer[:7], *mid[:7], *inner, *mid[7:], *outer[7:]]
+        docs.append((k, " ".join([*prose(900 + k, 50).split(), *deep, *prose(950 + k, 40).split()]), 7))
+    docs += [(50, None, None), (51, "", 0), (52, prose(990, 30), 5), (53, items[3][1], 9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    assert len(decontaminate.item_blocks(bench, 10, "item_id", "text", 40)) > 4
+    got = {}
+    for block_words in (200_000, 40):
+        left = decontaminate.decontaminated(table, bench, block_words=block_words).collect()
+        assert not any(x[-1] for x in contaminated_by_hand([(r.doc_id, r.text) for r in left], items))
+        got[block_words] = {r.doc_id: (r.text, r.n_chars) for r in left}
+    assert got[40] == got[200_000]
+    for k in range(12):
+        text = f"{prose(900 + k, 50)} {prose(950 + k, 40)}"
+        assert got[40][k] == (text, len(text))
+    assert {k: got[40].get(k) for k in (50, 51, 52, 53)} == {50: (None, None), 51: ("", 0), 52: (prose(990, 30), 5), 53: None}
+
+
 def test_packing(odd_docs, no_docs):
     path = queries.tokenizer_file("word_bpe_49k.json")
     out = packing.pack(odd_docs, path, group_rows=4).collect()
