@@ -39,9 +39,17 @@ class PieceEncoder:
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def pieces(text: bytes) -> list[bytes]:
+        if b"<|" in text:
+            return text.split()
+        if text.isascii():
+            return text.lower().split()
+        return [p.lower() if p.isascii() else p for p in text.split()]
+
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        # the vocabulary is in lower case; control strings are told by their case
-        pieces = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        # the vocabulary is in lower case; control strings are told by their case, and a capital may compose with a mark after it
+        pieces = [self.pieces(t) for t in texts]
         if len(self.recent) > REMEMBERED // 2:
             self.older, self.recent = self.recent, {}
         recent, older = self.recent, self.older

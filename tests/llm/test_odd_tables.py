@@ -76,6 +76,14 @@ def test_cuts_are_looked_at_again_with_many_blocks(spark):
     assert {k: got[40].get(k) for k in (50, 51, 52, 53)} == {50: (None, None), 51: ("", 0), 52: (prose(990, 30), 5), 53: None}
 
 
+def test_packing_keeps_the_case_of_capitals_that_compose(spark):
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    encoder = packing.PieceEncoder(path)
+    odd = [f"plain WORD {c}{m}x {c}{m} Other" for c, m in zip("THWYJ", "\u0308\u0331\u030a\u030a\u030c")]
+    for text, ids in zip(odd, encoder.ids([t.encode() for t in odd])):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(odd_docs, no_docs):
     path = queries.tokenizer_file("word_bpe_49k.json")
     out = packing.pack(odd_docs, path, group_rows=4).collect()
