@@ -25,6 +25,10 @@ from panelsmith.operators.models.linear import cell_groups, rows_of
 _GROUP_DOUBLES = 8_000_000
 # Curvature is kept for this many features of a fit; wider fits work on a subset.
 WORKING_SET = 200
+# What a gradient's terms leave undecided when they cancel, as a share of the penalty's tolerance.
+ROUNDING = 1e-7
+# A fit that has not converged after so many steps is an error.
+MAX_STEPS = 1000
 
 
 @dataclass
@@ -66,7 +70,7 @@ def _groups(fits: list[Fit]) -> Iterator[list[int]]:
     group, held = [], 0
     for i, f in enumerate(fits):
         a = min(f.width, WORKING_SET) + 1
-        size = f.width + a * (a + 1) // 2
+        size = 2 * f.width + a * (a + 1) // 2
         if group and held + size > _GROUP_DOUBLES:
             yield group
             group, held = [], 0
@@ -100,7 +104,7 @@ def _design_matrix(x: np.ndarray, f: Fit, bias: bool) -> np.ndarray:
 
 
 def _sums(rows: DataFrame, problem: Problem, fits: dict[int, Fit], w: dict[int, np.ndarray], active: dict[int, np.ndarray]) -> DataFrame:
-    """(fit, sums): objective without penalty, gradient, and curvature on the active features."""
+    """(fit, sums): objective without penalty, gradient, the sizes of its terms, and curvature on the active features."""
     by_cell: dict[tuple, list[int]] = {}
     for i, f in fits.items():
         by_cell.setdefault((f.slot, f.K), []).append(i)
@@ -127,7 +131,7 @@ def _sums(rows: DataFrame, problem: Problem, fits: dict[int, Fit], w: dict[int,
                     value, slope, bend = _row_terms(problem.loss, xs @ w[i], ps, f)
                     xa = xs if len(active[i]) == xs.shape[1] else xs[:, active[i]]
                     h = (xa * bend[:, None]).T @ xa
-                    packed = np.concatenate([[value.sum()], xs.T @ slope, h[np.triu_indices(len(h))]])
+                    packed = np.concatenate([[value.sum()], xs.T @ slope, np.abs(xs).T @ np.abs(slope), h[np.triu_indices(len(h))]])
                     if i in sums:
                         sums[i] += packed
                     else:
@@ -177,7 +181,7 @@ def _next_directions(problem: Problem, w: dict[int, np.ndarray], active: dict[in
                 h = np.zeros((len(items), a, a))
                 upper = np.triu_indices(a)
                 for n, (i, s) in enumerate(items):
-                    h[n][upper] = s[1 + p[n]:]
+                    h[n][upper] = s[1 + 2 * p[n]:]
                 h = h + np.transpose(np.triu(h, 1), (0, 2, 1)) + (problem.ridge + 1e-10) * np.eye(a)
                 g = np.array([full[n][active[i]] for n, (i, _) in enumerate(items)]).reshape(len(items), a)
                 wa = np.array([w[i][active[i]] for i, _ in items]).reshape(len(items), a)
@@ -191,6 +195,9 @@ def _next_directions(problem: Problem, w: dict[int, np.ndarray], active: dict[in
                 for n, (i, s) in enumerate(items):
                     v, lam = w[i], problem.lasso
                     gap = np.where(v != 0, np.abs(full[n] + lam * np.sign(v)), np.maximum(np.abs(full[n]) - lam, 0.0))
+                    # against the penalty; without one, against what the gradient cancels
+                    terms = s[1 + p[n]:1 + 2 * p[n]] + problem.ridge * np.abs(v)
+                    gap = gap / np.maximum(lam + (ROUNDING if lam else 1.0) * terms, np.finfo(float).tiny)
                     move = np.zeros(len(v))
                     move[active[i]] = d[n]
                     if len(v) <= WORKING_SET + 1:
@@ -216,8 +223,12 @@ def _next_directions(problem: Problem, w: dict[int, np.ndarray], active: dict[in
     return step
 
 
-def solve(rows: DataFrame, fits: list[Fit], problem: Problem, max_steps: int = 40, tolerance: float = 1e-6) -> list[Fit]:
-    """Fill in `coef` and `intercept` of every fit. Rows: slot, K, codes, is_pos, x."""
+def solve(rows: DataFrame, fits: list[Fit], problem: Problem, max_steps: int = MAX_STEPS, tolerance: float = 1e-6) -> list[Fit]:
+    """Fill in `coef` and `intercept` of every fit. Rows: slot, K, codes, is_pos, x.
+
+    A fit has converged when its optimality conditions hold to `tolerance` of the lasso penalty, or without one, of the
+    terms that make up its gradient. Fits that do not get there are an error.
+    """
     rows = rows.select("slot", "K", "codes", "is_pos", "x")
     for group in _groups(fits):
         _solve_group(rows, {i: fits[i] for i in group}, problem, max_steps, tolerance)
@@ -231,7 +242,6 @@ def _solve_group(rows: DataFrame, fits: dict[int, Fit], problem: Problem, max_st
     active = {i: np.arange(width[i]) if width[i] <= WORKING_SET + 1 else np.arange(0) for i in fits}
     size = dict.fromkeys(fits, 1.0)
     best: dict[int, float] = {}
-    first_gap: dict[int, float] = {}
     open_fits = set(fits)
     for _ in range(max_steps):
         if not open_fits:
@@ -246,20 +256,18 @@ def _solve_group(rows: DataFrame, fits: dict[int, Fit], problem: Problem, max_st
         seen = set()
         for i, objective, gap, move, follow in zip(*(result[c].to_pylist() for c in ("fit", "objective", "violation", "direction", "next"))):
             seen.add(i)
-            first_gap.setdefault(i, gap)
             if i not in best or objective <= best[i] + 1e-12 * abs(best[i]):
-                # no progress of a full step; on a working set the next one may still move
-                stalled = i in best and len(sets[i]) == width[i] and best[i] - objective <= 1e-13 * abs(best[i])
                 w[i], best[i] = trial[i], objective
                 d[i], active[i], size[i] = np.array(move), np.array(follow, dtype=np.int64), 1.0
-                if gap <= tolerance * max(1e-3, first_gap[i]) or stalled:
+                if gap <= tolerance:
                     open_fits.discard(i)
             else:
                 size[i] *= 0.5
-                if size[i] < 1e-6:
-                    open_fits.discard(i)
         # a fit without any training row stays at zero
         open_fits &= seen
+    if open_fits:
+        left = [(fits[i].slot, fits[i].K, fits[i].C) for i in sorted(open_fits)[:5]]
+        raise RuntimeError(f"{len(open_fits)} fits have not converged after {max_steps} steps, first (slot, K, C): {left}")
     for i, f in fits.items():
         coef = w[i][:f.width]
         f.coef = coef / f.scale if f.scale is not None else coef

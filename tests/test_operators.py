@@ -201,6 +201,24 @@ def test_working_set_reaches_the_same_solution(coded, monkeypatch):
     assert np.allclose(full.coef, part.coef, atol=1e-5)
 
 
+def test_lasso_on_unscaled_wide_rows_meets_its_optimality_conditions(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(100, 300)) * 50
+    y = x[:, 0] - x[:, 1] + 50 * rng.normal(size=100) > 0
+    data = [(0, 300, [0], bool(y[i]), [float(v) for v in x[i]]) for i in range(100)]
+    rows = spark.createDataFrame(data, "slot int, K int, codes array<int>, is_pos boolean, x array<double>").repartition(4).cache()
+    fits = [solver.Fit(0, 300, 300, C=c) for c in (1.0, 10.0)]
+    solver.solve(rows, fits, solver.Problem("logistic", lasso=1.0))
+    s = np.where(y, 1.0, -1.0)
+    for f in fits:
+        g = -f.C * x.T @ (s * np.exp(-np.logaddexp(0.0, s * (x @ f.coef))))
+        on = f.coef != 0
+        assert np.all(np.abs(g[~on]) <= 1 + 1e-4)
+        assert np.allclose(g[on], -np.sign(f.coef[on]), atol=1e-4)
+    with pytest.raises(RuntimeError, match="not converged"):
+        solver.solve(rows, [solver.Fit(0, 300, 300)], solver.Problem("logistic", lasso=1.0), max_steps=2)
+
+
 def test_svm_gradient_vanishes(coded):
     rows, x, y = coded
     f = solver.solve(rows, [solver.Fit(0, 6, 6)], solver.Problem("squared_hinge", ridge=1.0, bias=True))[0]
