@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from conftest import prose, texts
 from pyspark.sql import functions as F
-from test_queries import contaminated_by_hand, private_by_hand, quality_by_hand
+from test_llm_queries import contaminated_by_hand, private_by_hand, quality_by_hand
 
 from panelsmith.llm import (
     chat, dartminhash, decontaminate, linededup, packing, pii, quality, queries, sharding, tokencount, toxicity,
