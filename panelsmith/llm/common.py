@@ -95,12 +95,58 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8_000_000) -> Ite
         start = stop
 
 
+#: A key is heavy if it has more than one in so many rows of a table; there are fewer than so many heavy keys, whatever the table.
+HEAVY_SHARE = 1000
+#: Tables of fewer rows have no heavy keys worth a job.
+HEAVY_ROWS = 20_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined to `facts`, which has a row per `key` at most, without bringing a heavy key's rows together.
+
+    Rows of heavy keys stay where they are: the facts of these keys, fewer than HEAVY_SHARE rows, are broadcast. All other
+    rows are joined as Catalyst sees fit. `rows` and `facts` are read several times and should come from written tables.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    if total < HEAVY_ROWS:
+        return rows.join(facts, key, how)
+    heavy = settle(counts.where(F.col("n") * HEAVY_SHARE > total).where(F.col(key).isNotNull()).select(key), "heavy-keys")
+    if heavy.isEmpty():
+        return rows.join(facts, key, how)
+    few = settle(facts.join(F.broadcast(heavy), key, "left_semi"), "heavy-facts")
+    hot = rows.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(few), key, how)
+    cold = rows.join(F.broadcast(heavy), key, "left_anti").join(facts, key, how)
+    return hot.unionByName(cold)
+
+
+#: Bits of a bitmap, as a power of two: 2 MB, whatever the number of keys.
+BITMAP = 24
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits that the 64-bit keys of a column fall on. Its size is fixed: with very many keys it lets more of the others through."""
+    place = F.col(column).bitwiseAND(F.lit((1 << BITMAP) - 1))
+    rows = keys.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = rows.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(1 << (BITMAP - 6), np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
+def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for keys that are not in the bitmap's table; true for all that are and a few others."""
+    place = keys.astype(np.int64) & ((1 << BITMAP) - 1)
+    return (bits[place >> 6] >> (place & 63)) & 1 == 1
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Distributed union-find: (node, root) for every node of `edges(a, b)`; root is the smallest node.
 
     Alternates large and small stars until only stars are left: no node has two parents or is both parent and
-    child. Every round is a grouped minimum and a join on the node, so a star of any size is dealt out by
-    its leaves and no component is gathered anywhere.
+    child. Every round is a grouped minimum, combined before the shuffle, and a join on the node in which the rows of heavy
+    centres stay where they are (spread_join), so a star of any size is dealt out and no component is gathered anywhere.
     """
     a, b = F.col("a"), F.col("b")
     now = settle(
@@ -112,12 +158,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         ends = ends.groupBy("x").agg(F.sum("child").alias("ups"), F.max("parent").alias("parent"))
         if ends.where("ups > 1 or (ups = 1 and parent = 1)").isEmpty():
             break
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # rows (u, v) of `now` have v < u: seen from v they lead up, seen from u down
+        down = now.groupBy("u").agg(F.min("v").alias("m"))
+        least = down.union(now.groupBy(F.col("v").alias("u")).agg(F.min("v").alias("m"))).groupBy("u").agg(F.min("m").alias("m"))
+        up = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = spread_join(up, settle(least, f"{name}-least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = settle(large.distinct(), f"{name}-large")
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
+        small = spread_join(large, least, "u").where(F.col("v") != F.col("m"))
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = settle(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-stars")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

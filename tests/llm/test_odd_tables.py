@@ -341,12 +341,22 @@ def test_bucket_components_lose_no_link(spark):
             assert all(abs(points[a] - points[b]) <= 2 for a, b in compared)
 
 
-def test_marks_of_lines(spark):
-    """Marks of a set of hashes: a bit is set when an odd number of hashes falls on it."""
-    sets = [[], [0], [-1, 5, 2**62 + 3, -(2**63)], list(range(-300, 300, 7))]
-    rows = spark.createDataFrame([(s,) for s in sets], "s array<long>").select("s", *linededup.marks(F.col("s"))).collect()
-    for r in rows:
-        want = [0] * len(MARKS)
-        for h in r.s:
-            want[h % len(MARKS)] ^= 1 << (h >> 8) % 64
-        assert [r[m] % 2**64 for m in MARKS] == want
+def test_sets_of_lines():
+    """Sets, sizes and marks of lines: a bit of the marks is set when an odd number of hashes falls on it."""
+    import numpy as np
+
+    lines = ["", "a", "abcde", "abcdef" * 9, prose(3, 400), "é😀" * 50, "x" * 30_000, prose(4, 5000)]
+    texts = [x.encode() for x in lines]
+    row, value, n = linededup.char_sets(texts, 5)
+    assert n.tolist() == [len({x[i : i + 5] for i in range(max(1, len(x) - 4))}) if x else 0 for x in lines]
+    marks = linededup.set_marks(row, value, len(lines))
+    for i in range(len(lines)):
+        want = [0] * 512
+        for v in value[row == i].tolist():
+            want[(v >> 40) % 512] ^= 1
+        assert sum(want) == sum(bin(int(m) % 2**64).count("1") for m in marks[i])
+    # the same line gives the same keys in any company
+    for make in (linededup.long_keys, linededup.short_keys):
+        r, v, _ = linededup.char_sets(texts[3:5], 5)
+        together = make(*linededup._part(row, value, n > 0), int((n > 0).sum()))
+        assert (make(r, v, 2) == together[2:4]).all() and np.unique(together, axis=0).shape[0] == len(together)
