@@ -159,13 +159,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if ends.where("ups > 1 or (ups = 1 and parent = 1)").isEmpty():
             break
         # rows (u, v) of `now` have v < u: seen from v they lead up, seen from u down
-        down = now.groupBy("u").agg(F.min("v").alias("m"))
-        least = down.union(now.groupBy(F.col("v").alias("u")).agg(F.min("v").alias("m"))).groupBy("u").agg(F.min("m").alias("m"))
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        least = least.union(now.groupBy(F.col("v").alias("u")).agg(F.min("v").alias("m"))).groupBy("u").agg(F.min("m").alias("m"))
         up = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        large = spread_join(up, settle(least, f"{name}-least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = settle(large.distinct(), f"{name}-large")
-        least = settle(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
-        small = spread_join(large, least, "u").where(F.col("v") != F.col("m"))
+        if now.count() < HEAVY_ROWS:
+            join, kept = lambda rows, facts, key: rows.join(facts, key), lambda df: df
+        else:
+            join, kept = spread_join, lambda df: settle(df, f"{name}-part")
+        large = kept(join(up, kept(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = join(large, least, "u").where(F.col("v") != F.col("m"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = settle(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-stars")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -55,45 +55,80 @@ def worth_a_look(kind: str, text: Column) -> Column:
     return text.contains("+") if kind == "phone" else text.rlike("[0-9][0-9 .-]{4}")
 
 
-def _located(kind: str, text: str) -> Column:
-    """Array of (start, stop, found) in code points of the valid matches in the column `text`."""
-    pattern = F.lit(PATTERNS[kind])
-    none = F.array().cast("array<struct<start:int,stop:int,found:string>>")
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(F.col(text), PATTERNS[kind], -1).alias("gap")
-    )
-    # gaps and matches alternate, so a running sum of their lengths gives the places
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
+NONE = "cast(array() as array<struct<start:int,stop:int,found:string>>)"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        here = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("found"))
-        return F.struct(
-            stop.alias("at"), F.when(x["m"].isNotNull(), F.concat(acc["out"], F.array(here))).otherwise(acc["out"]).alias("out")
-        )
 
-    found = F.aggregate(pairs, state, step, lambda acc: acc["out"])
-    return F.when(worth_a_look(kind, F.col(text)), F.filter(found, lambda s: valid(kind, s["found"]))).otherwise(none)
+def _matches(text: str | Column, kind: str) -> Column:
+    """Array of (gap, m): the pieces of a text between the kind's matches, and the match after each (null after the last)."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.arrays_zip(
+        F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("m")
+    )
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (text key) and an array of (start, stop, found) for every kind; the texts themselves are left out."""
+    """doc_id, node (text key) and an array of (start, stop, found) for every kind, in code points; the texts are left out.
+
+    Gaps and matches alternate, so a running sum over their lengths gives the places: matches become rows, a text has as many as
+    it likes, and only valid ones are gathered again. Rows that repeat id and text have the same spans, null texts count
+    as empty, an empty table gives an empty result.
+    """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), text_key(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    return rows.select("doc_id", "node", *[_located(kind, "text").alias(kind) for kind in KINDS])
+    kinds = [
+        F.when(worth_a_look(k, F.col("text")), F.transform(_matches("text", k), lambda x: F.struct(
+            F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("size"),
+            F.when(x["m"].isNotNull(), valid(k, x["m"])).otherwise(F.lit(False)).alias("ok"),
+            x["m"].alias("m"),
+        ))).alias(k)
+        for k in KINDS
+    ]
+    looked = settle(rows.select("doc_id", "node", *kinds), "pii-looked")
+    found: DataFrame | None = None
+    for k in KINDS:
+        some = looked.where(F.exists(k, lambda x: x["ok"])).dropDuplicates(["doc_id", "node"])
+        some = some.select("doc_id", "node", F.lit(k).alias("kind"), F.posexplode(k).alias("n", "x"))
+        found = some if found is None else found.union(some)
+    found = found.select("doc_id", "node", "kind", "n", "x.*")
+    upto = W.partitionBy("doc_id", "node", "kind").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    found = found.withColumn("stop", F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(upto).cast("int")).where("ok")
+    spans = found.groupBy("doc_id", "node", "kind").agg(F.sort_array(F.collect_list(F.struct(
+        (F.col("stop") - F.col("size")).alias("start"), "stop", F.col("m").alias("found")
+    ))).alias("spans"))
+    per_kind = [F.first(F.when(F.col("kind") == k, F.col("spans")), ignorenulls=True).alias(k) for k in KINDS]
+    spans = spans.groupBy(F.col("doc_id").alias("i"), F.col("node").alias("k")).agg(*per_kind)
+    rows = looked.select("doc_id", "node").join(spans, same(F.col("doc_id"), F.col("i")) & F.col("node").eqNullSafe(F.col("k")), "left")
+    return rows.select("doc_id", "node", *[F.coalesce(k, F.expr(NONE)).alias(k) for k in KINDS])
 
 
 def _normal(kind: str, found: Column) -> Column:
     return F.lower(found) if kind in ("email", "ip") else _digits(found)
 
 
-def _values(kind: str) -> Column:
-    """Valid matches in the column `line`, each by kind and in one spelling."""
-    found = F.filter(F.regexp_extract_all("line", F.lit(PATTERNS[kind]), F.lit(0)), lambda m: valid(kind, m))
-    named = F.transform(found, lambda m: F.concat(F.lit(f"{kind}:"), _normal(kind, m)))
-    return F.when(worth_a_look(kind, F.col("line")), named).otherwise(F.array().cast("array<string>"))
+#: Stands before a protected value among the words of a line; private to this module, so it is taken out of texts first.
+MARK = "\ue000"
+#: Hex digits of a value, and the letters that stand for them: no pattern matches in them.
+LETTERS = ("0123456789ABCDEF", "abcdefghijklmnop")
+#: Words on either side of a protected value that count as met by it.
+REACH = 8
+
+
+def line_words(line: str) -> Column:
+    """The words of a line in lower case, with every valid match in its place as MARK and kind:value in letters.
+
+    Kinds are taken one after the other; a match that is not valid stays as it stands, so its words are words like any other.
+    """
+    text = F.translate(F.col(line), MARK, "")
+    for kind in KINDS:
+        def told(x: Column, kind: str = kind) -> Column:
+            value = F.concat(F.lit(f"{kind}:"), _normal(kind, x["m"]))
+            mark = F.concat(F.lit(f" {MARK}"), F.translate(F.hex(F.encode(value, "UTF-8")), *LETTERS), F.lit(" "))
+            return F.concat(x["gap"], F.when(x["m"].isNull(), "").when(valid(kind, x["m"]), mark).otherwise(x["m"]))
+
+        with_marks = F.array_join(F.transform(_matches(text, kind), told), "")
+        text = F.when(worth_a_look(kind, F.col(line)), with_marks).otherwise(text)
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
 def terms_of(line: Column) -> Column:
@@ -102,48 +137,61 @@ def terms_of(line: Column) -> Column:
 
 
 def disclosing_terms(
-    docs: DataFrame, min_contexts: int = 3, min_share: float = 0.5, remove_share: float = 0.9, text_col: str = "text"
+    docs: DataFrame, min_contexts: int = 3, min_bits: float = 3.0, most_left: float = 1.0, remove_left: float = 0.15,
+    reach: int = REACH, text_col: str = "text",
 ) -> DataFrame:
-    """(term, entity, share, bits, action): terms that give a protected entity away.
+    """(term, entity, contexts, share, bits, left, action): terms that give a protected entity away.
+
+    Entities are the values of valid matches. A term meets an entity in a line if it stands within `reach` words of it. Of a term
+    and an entity, share is the lines in which they meet over all lines with the term; left = -log2(share) is what the
+    term leaves unknown about the entity, in bits, and bits = log2(share over the entity's share of all lines) is what it tells. A
+    term discloses an entity if it tells `min_bits` or more, leaves `most_left` or less and they meet in `min_contexts`
+    contexts, lines that differ beside their matches. If `remove_left` or less is left the term is removed, else it is generalised.
 
-    Entities are the values of valid matches; a context is a line without its matches. For every term and entity that stand
-    together, share = lines with both / lines with the term, and bits = log2 of share over the entity's own share of all
-    lines. A term discloses an entity if they meet in `min_contexts` different contexts (copies are one) and
-    share is `min_share` or more; from `remove_share` on it is removed, below it is generalised. All lines of
-    all documents count; counts are aggregated before they are shuffled.
+    All lines of all documents count, both counts on the same words of a line; repeated lines count each time but are one
+    context. Null and empty texts have no lines with words; an empty table gives no terms. Counts are aggregated before they are
+    shuffled, and a line gives at most 2 reach terms for each of its entities.
     """
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
     look = worth_a_look("email", F.col("line")) | worth_a_look("ip", F.col("line")) | worth_a_look("phone", F.col("line"))
-    marked = lines.where(look).select("line", F.array_distinct(F.concat(*map(_values, KINDS))).alias("entities"))
-    marked = settle(marked, "pii-marked").where("size(entities) > 0")
-    bare = F.col("line")
-    for k in KINDS:
-        bare = F.regexp_replace(bare, F.lit(PATTERNS[k]), F.lit(" "))
-    marked = marked.select("entities", bare.alias("bare"))
     # copies of a line meet before anything is counted apart
-    marked = marked.groupBy("entities", "bare").agg(F.count("*").alias("n"))
-    met = marked.select(F.explode("entities").alias("entity"), "bare", "n")
-    met = settle(met, "pii-lines")
-    pairs = met.select("entity", F.explode(terms_of(F.col("bare"))).alias("term"), F.xxhash64("bare").alias("context"), "n")
-    # a line can differ in its matches alone, so contexts are counted by what is left of it
-    pairs = pairs.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
+    marked = lines.where(look).select(line_words("line").alias("words")).where(F.exists("words", lambda w: w.startswith(MARK)))
+    marked = settle(marked.groupBy("words").agg(F.count("*").alias("n")), "pii-marked")
+    # each protected value with the words around it, once per line
+    places = "filter(transform(words, (w, i) -> struct(w, i)), x -> startswith(x.w, mark))"
+    around = f"filter(slice(words, greatest(e.i - {reach}, 0) + 1, {2 * reach + 1}), t -> not startswith(t, mark))"
+    met = f"array_distinct(flatten(transform({places}, e -> transform({around}, t -> struct(e.w as entity, t as term)))))"
+    bare = F.filter("words", lambda w: ~w.startswith(MARK))
+    rows = marked.withColumn("mark", F.lit(MARK))
+    pairs = rows.select(F.explode(F.expr(met)).alias("p"), F.xxhash64(bare).alias("context"), "n")
+    pairs = pairs.groupBy("p.entity", "p.term", "context").agg(F.sum("n").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("together"))
     pairs = settle(pairs.where(F.col("contexts") >= min_contexts), "pii-pairs")
-    counts = lines.select(F.explode(terms_of(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("lines"))
-    entities = met.groupBy("entity").agg(F.sum("n").alias("entity_lines"))
+    # a line without a match to look at has its words as they stand
+    plain = lines.where(~look).select(F.explode(terms_of(F.col("line"))).alias("term"), F.lit(1).cast("long").alias("n"))
+    unmarked = lines.where(look).select(line_words("line").alias("words")).select(
+        F.explode(F.array_distinct(F.filter("words", lambda w: ~w.startswith(MARK)))).alias("term"), F.lit(1).cast("long").alias("n")
+    )
+    counts = plain.union(unmarked).join(pairs.select("term").distinct(), "term", "left_semi")
+    counts = counts.groupBy("term").agg(F.sum("n").alias("lines"))
+    entities = rows.select(F.explode(F.expr(f"array_distinct(transform({places}, e -> e.w))")).alias("entity"), "n")
+    entities = entities.groupBy("entity").agg(F.sum("n").alias("entity_lines"))
     total = lines.count()
-    out = pairs.join(counts, "term").join(entities, "entity")
-    share = F.col("together") / F.col("lines")
+    out = pairs.join(counts, "term").join(entities, "entity").withColumn("share", F.col("together") / F.col("lines"))
     out = out.select(
-        "term", "entity", "contexts", share.alias("share"), F.log2(share * total / F.col("entity_lines")).alias("bits")
+        "term", F.decode(F.unhex(F.translate(F.expr("substring(entity, 2)"), *LETTERS[::-1])), "UTF-8").alias("entity"), "contexts", "share",
+        F.log2(F.col("share") * total / F.col("entity_lines")).alias("bits"), (-F.log2("share")).alias("left"),
     )
-    action = F.when(F.col("share") >= remove_share, "remove").otherwise("generalise")
-    return out.where(F.col("share") >= min_share).withColumn("action", action)
+    action = F.when(F.col("left") <= remove_left, "remove").otherwise("generalise")
+    return out.where((F.col("bits") >= min_bits) & (F.col("left") <= most_left)).withColumn("action", action)
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, start, stop, term) of every occurrence of the terms, whatever their case."""
+    """(doc_id, node, start, stop, found) of every occurrence of the terms, whatever their case; repeated rows are one.
+
+    Null texts and an empty table give no rows.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("node"), F.col(text_col).alias("text"))
     rows = rows.where("text is not null").dropDuplicates(["doc_id", "node"])
     held = rows.select("doc_id", "node", F.explode(terms_of(F.col("text"))).alias("term"))
@@ -159,10 +207,13 @@ def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_c
     stop = F.sum(F.col("gap") + F.coalesce(F.length("word"), F.lit(0))).over(upto)
     words = words.withColumn("stop", stop.cast("int")).withColumn("start", F.col("stop") - F.length("word"))
     words = words.withColumn("term", F.lower("word")).where("term is not null")
-    return words.join(terms.select("term").distinct(), "term", "left_semi").select("doc_id", "node", "start", "stop", "term")
+    words = words.join(terms.select("term").distinct(), "term", "left_semi")
+    return words.select("doc_id", "node", "start", "stop", F.col("word").alias("found"))
 
 
-def sensitive_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def sensitive_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, **how
+) -> DataFrame:
     """One row per document: doc_id, node, an array of (start, stop, found) per kind, and the same for terms.
 
     Spans are in code points of the text, ends exclusive. Base kinds are searched apart from each other; terms inside of a
@@ -170,13 +221,14 @@ def sensitive_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result; other columns are ignored.
     """
     rows = settle(base_spans(docs, id_col, text_col), "pii-base")
-    terms = settle(disclosing_terms(docs, text_col=text_col, **how), "pii-terms")
-    none = F.array().cast("array<struct<start:int,stop:int,found:string>>")
+    if terms is None:
+        terms = settle(disclosing_terms(docs, text_col=text_col, **how), "pii-terms")
+    none = F.expr(NONE)
     if terms.isEmpty():
         return rows.withColumn("term", none)
     found = term_spans(docs, terms, id_col, text_col)
     found = found.groupBy(F.col("doc_id").alias("i"), F.col("node").alias("k")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "stop", F.col("term").alias("found")))).alias("terms")
+        F.sort_array(F.collect_list(F.struct("start", "stop", "found"))).alias("terms")
     )
     rows = rows.join(found, same(F.col("doc_id"), F.col("i")) & (F.col("node") == F.col("k")), "left")
     base = F.flatten(F.array(*KINDS))
@@ -195,34 +247,57 @@ def listed(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.flatten(F.array(*map(of, kinds))), ",")
 
 
+def generalised(word: Column) -> Column:
+    """The class that stands for a disclosing term: [number] of digits, [code] with digits, [name] with a capital first, else [word]."""
+    return (
+        F.when(word.rlike(r"^[0-9]+$"), "[number]").when(word.rlike("[0-9]"), "[code]")
+        .when(word.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]")
+    )
+
+
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents with base spans replaced by their kind, and disclosing terms generalised to [term] or removed.
+    """The documents with base spans replaced by their kind, and disclosing terms replaced by their class or removed.
 
-    All columns stay. Text is rebuilt from the pieces between spans; of overlapping spans the first, then the longer one counts.
+    All columns stay. Spans that overlap become one, marked like the first of them, or the longer of two that begin together. Null and empty texts stay as they are,
+    rows that repeat id and text are treated alike, an empty table gives an empty result. A text is rebuilt from
+    its characters' places once, whatever the number of its spans.
     """
     names = docs.columns
-    spans = sensitive_spans(docs, id_col, text_col, **how)
-    removed = settle(disclosing_terms(docs, text_col=text_col, **how).where("action = 'remove'").select("term").distinct(), "pii-removed")
+    terms = settle(disclosing_terms(docs, text_col=text_col, **how), "pii-terms")
+    spans = settle(sensitive_spans(docs, id_col, text_col, terms=terms), "pii-spans")
+    removed = terms.groupBy("term").agg(F.max((F.col("action") == "remove").cast("int")).alias("gone"))
 
     def marked(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(
-            s["start"].alias("start"), (-s["stop"]).alias("back"), F.lit(f"[{kind}]").alias("mark"), s["found"].alias("found")
+            s["start"].alias("start"), s["stop"].alias("stop"), F.lit(f"[{kind}]").alias("mark"), s["found"].alias("found")
         ))
 
     marks = F.flatten(F.array(*map(marked, (*KINDS, "term"))))
     flat = spans.dropDuplicates(["doc_id", "node"]).select("doc_id", "node", F.explode(marks).alias("m"))
     flat = flat.select("doc_id", "node", "m.*")
-    gone = removed.select(F.col("term").alias("found"), F.lit("[term]").alias("mark"), F.lit(True).alias("gone"))
-    flat = flat.join(gone, ["found", "mark"], "left").withColumn("mark", F.when(F.col("gone"), "").otherwise(F.col("mark")))
-    order = F.sort_array(F.collect_list(F.struct("start", "back", "mark")))
-    edits = flat.groupBy(F.col("doc_id").alias("__llm_id"), F.col("node").alias("__llm_key")).agg(order.alias("__llm_edits"))
+    # spans that overlap become one
+    order = W.partitionBy("doc_id", "node").orderBy("start", F.desc("stop"), "mark")
+    done = F.coalesce(F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    flat = flat.withColumn("new", (F.col("start") >= done).cast("int"))
+    flat = flat.withColumn("piece", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.min(F.struct("start", (-F.col("stop")).alias("back"), "mark", "found"))
+    flat = flat.groupBy("doc_id", "node", "piece").agg(first.alias("x"), F.max("stop").alias("stop"))
+    flat = flat.select("doc_id", "node", "x.start", "stop", "x.mark", "x.found", F.lower("x.found").alias("key"))
+    gone = removed.select(F.col("term").alias("key"), F.lit("[term]").alias("mark"), "gone")
+    flat = flat.join(gone, ["key", "mark"], "left")
+    mark = F.when(F.col("mark") != "[term]", F.col("mark")).when(F.col("gone") == 1, "").otherwise(generalised(F.col("found")))
+    edits = flat.withColumn("mark", mark).groupBy("doc_id", "node").agg(
+        F.sort_array(F.collect_list(F.struct("start", "stop", "mark"))).alias("edits")
+    )
+    edits = edits.select(F.col("doc_id").alias("__llm_id"), F.col("node").alias("__llm_key"), F.col("edits").alias("__llm_edits"))
     on = same(F.col(id_col), F.col("__llm_id")) & (text_key(text_col) == F.col("__llm_key"))
     rows = docs.join(edits, on, "left").withColumnRenamed(text_col, "__llm_text")
-    text = F.expr("""
-        case when __llm_edits is null then __llm_text else aggregate(
-            __llm_edits, struct(0 as at, cast(array() as array<string>) as out),
-            (acc, e) -> if(e.start < acc.at, acc, struct(
-                -e.back as at, concat(acc.out, array(substring(__llm_text, acc.at + 1, e.start - acc.at), e.mark)) as out)),
-            acc -> concat(array_join(acc.out, ''), substring(__llm_text, acc.at + 1))) end
+    # UTF-32 has four bytes a character, so a piece is found without counting from the start
+    piece = "decode(substring(w, 4 * {a} + 1, 4 * ({b} - {a})), 'UTF-32')"
+    before = piece.format(a="if(i = 0, 0, __llm_edits[i - 1].stop)", b="e.start")
+    rest = piece.format(a="__llm_edits[size(__llm_edits) - 1].stop", b="(length(w) div 4)")
+    text = F.expr(f"""
+        case when __llm_edits is null then __llm_text else transform(array(encode(__llm_text, 'UTF-32')), w -> concat(
+            array_join(transform(__llm_edits, (e, i) -> concat({before}, e.mark)), ''), {rest}))[0] end
     """)
     return rows.withColumn(text_col, text).select(names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import computed, same, text_key
+from panelsmith.llm.common import computed, same, spread_join, text_key
 from panelsmith.session import settle
 
 #: White space between words: blank and U+0009 to U+000D.
@@ -73,11 +73,11 @@ def other_failed() -> Column:
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
-    """(host, n, failures, rate): rates shrunk towards the hosts' common mean by a beta prior.
+    """(host, n, failures, rate, spread, pooled): rates shrunk towards the hosts' common mean by a beta prior.
 
     The prior's mean is the pooled rate, its strength follows from the spread of the hosts beyond that of
-    binomial draws (method of moments, at least one document's worth). `rows` has host and failed; rows without a host
-    are left out.
+    binomial draws (method of moments, at least one document's worth). `rate` and `spread` are mean and standard deviation of a
+    host's beta posterior. `rows` has host and failed; rows without a host are left out. An empty table gives no hosts.
     """
     hosts = rows.where("host is not null").groupBy("host").agg(
         F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failures")
@@ -87,7 +87,7 @@ def host_rates(rows: DataFrame) -> DataFrame:
         F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum("failures").alias("f"),
         F.sum(F.col("failures") * F.col("failures") / F.col("n")).alias("ff"),
     ).first()
-    alpha = beta = 0.5
+    alpha = beta = mean = 0.5
     if total["n"]:
         mean = total["f"] / total["n"]
         noise = mean * (1 - mean)
@@ -97,35 +97,52 @@ def host_rates(rows: DataFrame) -> DataFrame:
             alpha, beta = mean * strength, (1 - mean) * strength
         else:
             alpha, beta = (mean + 1e-9), (1 - mean + 1e-9)
-    rate = (F.col("failures") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return hosts.withColumn("rate", rate)
+    weight = F.col("n") + F.lit(alpha + beta)
+    rate = (F.col("failures") + F.lit(alpha)) / weight
+    hosts = hosts.withColumn("rate", rate).withColumn("spread", F.sqrt(rate * (1 - rate) / (weight + 1)))
+    return hosts.withColumn("pooled", F.lit(float(mean)))
+
+
+def surely_above(times: float, sigmas: float) -> Column:
+    """Whether a host's failure rate is above `times` the pooled one for all but the last `sigmas` of its posterior (normal approximation).
+
+    A pooled rate of which `times` is 1 or more leaves no host above it.
+    """
+    return (F.col("rate") - sigmas * F.col("spread")) > times * F.col("pooled")
 
 
 def host_quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    reject_host: float = 0.5, doubt_host: float = 0.25,
+    reject_times: float = 2.5, doubt_times: float = 1.25, sigmas: float = 3.0,
 ) -> DataFrame:
-    """One row per document: its counts, whether a base rule fails, its host's shrunk failure rate, and whether it is kept.
+    """One row per document: its counts, whether a base rule fails, its host's shrunk failure rate and verdict, and whether it is kept.
 
-    A document that fails a base rule goes. All documents of a host whose shrunk rate is `reject_host` or more go; those of
-    a host at `doubt_host` or more go if they fail another rule themselves. A document without a host is judged by the
-    base rules alone. Null and empty texts have no words, so they fail. Equal rows get equal verdicts; an
+    A document that fails a base rule goes. Hosts are judged against the pooled failure rate of the corpus: all documents of a
+    host go (`reject`) if its rate is surely above `reject_times` of that, those that fail another rule themselves go (`doubt`) if
+    it is surely above `doubt_times`; sure means `sigmas` posterior deviations. Small hosts have wide posteriors and are
+    left alone. A document without a host is judged by the base rules alone (null verdict). Null and empty texts have no words, so they fail. Equal rows get equal verdicts; an
     empty table gives an empty result; other columns are ignored.
     """
     rows = settle(features(docs, id_col, text_col, host_col), "quality")
     rows = rows.withColumn("base_failed", base_failed()).withColumn("other_failed", other_failed())
     rates = host_rates(rows.select("host", (F.col("base_failed") | F.col("other_failed")).alias("failed")))
-    rows = rows.join(rates.select("host", F.col("rate").alias("host_rate")), "host", "left")
-    rate = F.coalesce("host_rate", F.lit(0.0))
-    verdict = (rate < reject_host) & ((rate < doubt_host) | ~F.col("other_failed"))
+    verdict = F.when(surely_above(reject_times, sigmas), "reject").when(surely_above(doubt_times, sigmas), "doubt").otherwise("accept")
+    # a row per host: heavy hosts stay where they are
+    hosts = settle(rates.select("host", F.col("rate").alias("host_rate"), verdict.alias("host_verdict")), "host-verdicts")
+    rows = spread_join(rows, hosts, "host", "left")
+    given = F.coalesce("host_verdict", F.lit("accept"))
+    verdict = (given == "accept") | ((given == "doubt") & ~F.col("other_failed"))
     return rows.select(
         "doc_id", "node", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & verdict).alias("kept"), "host_rate",
+        (~F.col("base_failed") & verdict).alias("kept"), "host_rate", "host_verdict",
     )
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **how) -> DataFrame:
-    """The documents that `host_quality` keeps, with all their columns."""
+    """The documents that `host_quality` keeps, with all their columns; null and empty texts go, repeated rows share their verdict.
+
+    An empty table gives an empty result.
+    """
     kept = host_quality(docs, id_col, text_col, host_col, **how).where("kept")
     kept = kept.select(F.col("doc_id").alias("__llm_id"), F.col("node").alias("__llm_key")).distinct()
     on = same(F.col(id_col), F.col("__llm_id")) & (text_key(text_col) == F.col("__llm_key"))

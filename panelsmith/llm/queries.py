@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelsmith.llm import (
-    chat, dartminhash, decontaminate, linededup, packing, pii, quality, sharding, tokencount, toxicity,
+    chat, collocations, dartminhash, decontaminate, linededup, packing, pii, quality, search, sharding, simhash, tokencount,
+    toxicity,
 )
+from panelsmith.llm.oracles import COLLOCATIONS, SEARCH
 from panelsmith.llm.common import table
 
 
@@ -70,11 +72,24 @@ def op10_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.similar_prints(table(spark, sf_dir, "documents"))
+
+
+def op12_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_dart_minhash, op2_line_dedup, op3_hash_tree, op4_suffix_automaton, op5_chat_events, op6_tier_packing,
-        op7_section_tokens, op8_host_rules, op9_disclosure, op10_toxic_cnn,
+        op7_section_tokens, op8_host_rules, op9_disclosure, op10_toxic_cnn, op11_simhash_bytes, op12_term_at_a_time,
+        op13_collocations,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_term_at_a_time": SEARCH, "op13_collocations": COLLOCATIONS}

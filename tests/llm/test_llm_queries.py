@@ -178,11 +178,58 @@ def test_quality(spark, sf_dir, docs):
     out = rows_of(spark, sf_dir, "op8_host_rules")
     got = sorted(tuple(r)[:7] for r in out)
     assert got == sorted((d.doc_id, *quality_by_hand(d.text)) for d in docs)
-    texts = {d.doc_id: d.text for d in docs}
-    for r in out:
-        lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in texts[r.doc_id].split("\n"))
-        other = 4 * r.n_symbols > r.n_words or 2 * r.n_dup_lines > lines
-        assert r.kept == (not r.base_failed and r.host_rate < 0.5 and (r.host_rate < 0.25 or not other))
+    assert {r.doc_id: (r.kept, r.host_verdict, round(r.host_rate, 9)) for r in out} == verdicts_by_hand(
+        [(d.doc_id, d.text, d.source) for d in docs]
+    )
+
+
+def verdicts_by_hand(docs):
+    """kept, verdict and rate by document, for documents of distinct ids."""
+    fails = {}
+    for i, text, host in docs:
+        f = quality_by_hand(text)
+        lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in (text or "").split("\n"))
+        fails[i] = (f[5], 4 * f[2] > f[0] or 2 * f[3] > lines)
+    hosts = defaultdict(list)
+    for i, _, host in docs:
+        if host is not None:
+            hosts[host].append(any(fails[i]))
+    n, bad = sum(map(len, hosts.values())), sum(map(sum, hosts.values()))
+    pooled = bad / n
+    noise = pooled * (1 - pooled)
+    spread = sum(sum(h) ** 2 / len(h) for h in hosts.values()) / n - pooled**2 - noise * len(hosts) / n
+    strength = min(max(noise / spread - 1, 1.0), 1e9) if spread > 0 else 1e9
+    rate, verdict = {}, {}
+    for host, h in hosts.items():
+        rate[host] = (sum(h) + pooled * strength) / (len(h) + strength)
+        low = rate[host] - 3 * math.sqrt(rate[host] * (1 - rate[host]) / (len(h) + strength + 1))
+        verdict[host] = "reject" if low > 2.5 * pooled else "doubt" if low > 1.25 * pooled else "accept"
+    out = {}
+    for i, _, host in docs:
+        base, other = fails[i]
+        given = verdict.get(host)
+        out[i] = (not base and given != "reject" and not (given == "doubt" and other), given, round(rate[host], 9) if host is not None else None)
+    return out
+
+
+def test_hosts_that_fail_often_lose_documents(spark):
+    """Bad hosts lose all documents, doubtful ones those that fail another rule; small and unknown hosts are left alone."""
+    from panelsmith.llm import quality
+
+    good = " ".join(f"w{i}" for i in range(60))
+    marked, short = good + " ###" * 20, "too short"
+    shares = {"good": (300, 0.02, 0.02), "bad": (200, 0.3, 0.5), "doubt": (300, 0.03, 0.17), "tiny": (2, 0.5, 0.5), "other": (900, 0.03, 0.02)}
+    rows = []
+    for host, (n, few, many) in shares.items():
+        for i in range(n):
+            rows.append((len(rows), short if i < few * n else marked if i < (few + many) * n else f"{good} {i}", host))
+    rows += [(len(rows), marked, None), (len(rows) + 1, None, "good"), (len(rows) + 2, "", "bad")]
+    out = quality.host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    got = {r.doc_id: (r.kept, r.host_verdict, r.host_rate if r.host_rate is None else round(r.host_rate, 9)) for r in out}
+    assert got == verdicts_by_hand(rows)
+    verdicts = {h: got[next(i for i, _, x in rows if x == h)][1] for h in shares}
+    assert verdicts == {"good": "accept", "bad": "reject", "doubt": "doubt", "tiny": "accept", "other": "accept"}
+    assert sum(r.kept != (not r.base_failed) for r in out) > 150 and got[len(rows) - 3][0]
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"

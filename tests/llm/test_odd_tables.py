@@ -1,12 +1,13 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
 
+import math
 import re
 from collections import Counter
 
 import pytest
 from conftest import prose, texts
 from pyspark.sql import functions as F
-from test_llm_queries import contaminated_by_hand, private_by_hand, quality_by_hand
+from test_llm_queries import CARD, EMAIL, IP, PHONE, contaminated_by_hand, luhn, private_by_hand, quality_by_hand
 
 from panelsmith.llm import (
     chat, dartminhash, decontaminate, linededup, packing, pii, quality, queries, sharding, tokencount, toxicity,
@@ -140,19 +141,88 @@ def test_private(spark, odd_docs, no_docs):
     assert pii.sensitive_spans(no_docs).count() == 0
 
 
+def blanked(line):
+    """Words of a line and the places of its protected values, kinds one after the other, by plain Python."""
+    values = []
+    checks = {"email": (EMAIL, lambda m: True), "ip": (IP, lambda m: all(int(p) <= 255 for p in m.split("."))),
+              "card": (CARD, lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))), "phone": (PHONE, lambda m: 9 <= len(digits(m)) <= 15)}
+    for kind, (pattern, ok) in checks.items():
+        def swap(m, kind=kind, ok=ok):
+            if not ok(m[0]):
+                return m[0]
+            values.append(f"{kind}:{m[0].lower() if kind in ('email', 'ip') else digits(m[0])}")
+            return f" \ue000{chr(0xE100 + len(values) - 1)} "
+        line = re.sub(pattern, swap, line)
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", line.lower()) if w]
+    return [values[ord(w[1]) - 0xE100] if w[0] == "\ue000" else w for w in words], [w[0] == "\ue000" for w in words]
+
+
+def digits(text):
+    return re.sub("[^0-9]", "", text)
+
+
+def disclosing_by_hand(texts, min_contexts=3, min_bits=3.0, most_left=1.0, reach=8):
+    lines = [blanked(x) for t in texts if t is not None for x in t.split("\n")]
+    together, contexts, with_term, with_entity = Counter(), {}, Counter(), Counter()
+    for words, protected in lines:
+        bare = tuple(w for w, p in zip(words, protected) if not p)
+        with_term.update(set(bare))
+        with_entity.update({w for w, p in zip(words, protected) if p})
+        met = {
+            (words[i], words[j]) for i, p in enumerate(protected) if p
+            for j in range(max(0, i - reach), min(len(words), i + reach + 1)) if not protected[j]
+        }
+        for pair in met:
+            together[pair] += 1
+            contexts.setdefault(pair, set()).add(bare)
+    out = {}
+    for (entity, term), n in together.items():
+        share = n / with_term[term]
+        bits = math.log2(share * len(lines) / with_entity[entity])
+        if len(contexts[entity, term]) >= min_contexts and bits >= min_bits and -math.log2(share) <= most_left:
+            out[term, entity] = (len(contexts[entity, term]), share, bits, "remove" if -math.log2(share) <= 0.15 else "generalise")
+    return out
+
+
 def test_disclosing_terms_are_found(spark):
-    rows = [
-        (i, f"{prose(100 + i, 12)} Zorblatt wrote from zed@mail.example today") for i in range(4)
-    ] + [(i, f"{prose(200 + i, 12)} wrote today") for i in range(10, 40)] + [(50, "ask ZORBLATT, please")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    terms = pii.disclosing_terms(docs).collect()
-    assert [(t.term, t.entity) for t in terms] == [("from", "email:zed@mail.example"), ("zorblatt", "email:zed@mail.example")] or {
-        t.term for t in terms
-    } == {"from", "zorblatt"}
+    rows = [(i, f"{prose(100 + i, 12)}\nZorblatt wrote {prose(150 + i, 1)} from zed@mail.example today") for i in range(6)]
+    rows += [(i, f"{prose(200 + i, 12)} wrote today\n{prose(300 + i, 9)}") for i in range(10, 60)]
+    # words with digits beside a value, values that are no valid matches, half of a term's lines elsewhere
+    rows += [(70 + i, f"user Quux{i % 2}42 has 10.0.0.{7 + i % 2} and 999.1.1.1 {prose(400 + i, 2)}") for i in range(8)]
+    rows += [(80 + i, f"Blurp {prose(500 + i, 3)} +49 30 1234567") for i in range(4)] + [(90 + i, f"blurp {prose(600 + i, 4)}") for i in range(3)]
+    rows += [(95, "ask ZORBLATT, please"), (96, None), (97, ""), (98, "quux042 zorblatt42"), (99, "a\ue000b zorblattx")]
+    rows += [rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as term", "2 as entity", "3 as n").repartition(3)
+    got = {(t.term, t.entity): (t.contexts, round(t.share, 9), round(t.bits, 9), t.action) for t in pii.disclosing_terms(docs).collect()}
+    want = disclosing_by_hand([t for _, t in rows])
+    assert got == {k: (c, round(s, 9), round(b, 9), a) for k, (c, s, b, a) in want.items()}
+    found = {(t, e.split(":")[0]): v[3] for (t, e), v in got.items()}
+    assert found["zorblatt", "email"] == "remove" and found["quux042", "ip"] == "remove" and found["blurp", "phone"] == "generalise"
+    assert all(s <= 1 for _, s, _, _ in got.values())
     spans = {r.doc_id: [s["found"] for s in r.term] for r in pii.sensitive_spans(docs).collect()}
-    assert spans[50] == ["zorblatt"] and spans[20] == []
+    assert spans[95] == ["ZORBLATT"] and spans[98] == ["quux042"] and spans[20] == [] and spans[99] == []
+    assert "zorblatt42" not in str(spans)
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
-    assert clean[50] == "ask [term], please" and "[email]" in clean[0] and clean[20] == rows[14][1]
+    assert clean[95] == "ask , please" and clean[98] == " zorblatt42" and clean[20] == dict(rows)[20]
+    assert clean[96] is None and clean[97] == "" and clean[99] == dict(rows)[99]
+    assert clean[90].startswith("[word] ") and clean[80].startswith("[name] ") and clean[80].endswith("[phone]")
+    assert "zed@" not in clean[0] and "[email]" in clean[0] and "Zorblatt" not in clean[0]
+
+
+def test_private_data_in_very_long_texts(spark):
+    """Some MB of figures and addresses in one text, and one line with many values, take seconds."""
+    import time
+
+    numbers = " ".join(str(10**6 + 7 * i) for i in range(300_000))
+    mails = " ".join(f"u{i}@mail.example" for i in range(40_000))
+    crowd = [(10 + k, " ".join(f"w{j} m{j}@x.example" for j in range(1500)) + f" {k}") for k in range(3)]
+    docs = spark.createDataFrame([(1, numbers), (2, mails), *crowd], "doc_id long, text string")
+    started = time.time()
+    out = {r.doc_id: r for r in pii.sensitive_spans(docs).select("doc_id", F.size("email").alias("n"), F.element_at("email", -1).alias("e")).collect()}
+    assert (out[1].n, out[2].n, out[10].n) == (0, 40_000, 1500) and out[2].e["stop"] == len(mails)
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).where("doc_id < 3").collect()}
+    assert clean[1] == numbers and clean[2] == " ".join(["[email]"] * 40_000)
+    assert time.time() - started < 150
 
 
 def test_near_duplicates(odd_docs, no_docs):
