@@ -34,37 +34,42 @@ with pieces as (
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
     from documents
 ),
-split as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
-places as (select lang, w, unnest(range(1, len(w) + 1)) as i from split where len(w) > 0),
-runs as (
-    select lang, s as size, array_to_string(w[i:i + s - 1], ' ') as phrase
-    from places, (values (1), (2), (3), (4)) t(s) where i + s - 1 <= len(w)
+split as (select lang, row_number() over () as p, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+places as (select lang, p, unnest(w) as w1, unnest(range(len(w))) as i from split),
+following as (
+    select lang, w1, lead(w1, 1) over piece as w2, lead(w1, 2) over piece as w3, lead(w1, 3) over piece as w4
+    from places window piece as (partition by p order by i)
+),
+counts as (
+    select lang, 1 as size, w1 as phrase, count(*)::bigint as f from following group by all
+    union all
+    select lang, 2, w1 || ' ' || w2, count(*)::bigint from following where w2 is not null group by all
+    union all
+    select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*)::bigint from following where w3 is not null group by all
+    union all
+    select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*)::bigint from following where w4 is not null group by all
 ),
-counts as (select lang, size, phrase, count(*)::bigint as f from runs group by all),
 totals as (select lang, sum(f)::bigint as n from counts where size = 1 group by lang),
-cand as (select * from counts where size > 1 and f >= 30),
-cuts as (select c.*, string_split(phrase, ' ') as w, k from cand c, (values (1), (2), (3)) t(k) where k < size),
-parts as (
-    select c.lang, c.size, c.phrase, c.f as a, k, x.f as l, y.f as r,
-        ((2000000::hugeint * c.f) // (x.f + y.f))::bigint as score
-    from cuts c
-    join counts x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
-    join counts y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')
+cand as materialized (select lang, size, phrase, f, string_split(phrase, ' ') as w from counts where f >= 30),
+cuts as (
+    select lang, size, phrase, f, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as rest
+    from (select *, unnest(range(1, size)) as k from cand where size > 1)
 ),
-lowest as (
-    select *, row_number() over (partition by lang, phrase order by score, k) as place from parts
+parts as (
+    select c.lang, c.phrase, c.f as a, k, x.f as l, y.f as r, ((2000000::hugeint * c.f) // (x.f + y.f))::bigint as score
+    from cuts c join cand x on x.lang = c.lang and x.phrase = c.head join cand y on y.lang = c.lang and y.phrase = c.rest
 ),
-inner_phrases as (
-    select distinct lang, array_to_string(w[i:i + s - 1], ' ') as phrase, f
-    from (select lang, string_split(phrase, ' ') as w, f, size from cand where size > 2),
-        (values (2), (3)) t(s), (values (1), (2), (3)) u(i)
-    where s < size and i + s - 1 <= size
+lowest as (select *, row_number() over (partition by lang, phrase order by score, k) as place from parts),
+held as (
+    select lang, unnest([w[1:2], w[2:3], w[3:4], w[1:3], w[2:4]]) as inside, w, f from cand where size = 4
+    union all
+    select lang, unnest([w[1:2], w[2:3]]), w, f from cand where size = 3
 ),
-longer as (select lang, phrase, max(f) as longer from inner_phrases group by all),
+covering as (select lang, array_to_string(inside, ' ') as phrase, max(f) as most from held group by all),
 stay as (
     select p.lang, p.phrase, a, l, r, score
-    from lowest p left join longer q on p.lang = q.lang and p.phrase = q.phrase
-    where place = 1 and (longer is null or 100 * longer < 80 * a)
+    from lowest p left join covering q on p.lang = q.lang and p.phrase = q.phrase
+    where place = 1 and (q.most is null or 100 * q.most < 80 * a)
 ),
 ranked as (
     select s.lang, row_number() over (partition by s.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
