@@ -1,11 +1,11 @@
-"""Random forest per cell with Spark ML."""
+"""Random forests of all cells together: every task grows trees of some cells, level by level, for many trees at once."""
 
 from __future__ import annotations
 
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -17,48 +17,244 @@ from panelsmith.session import settle
 # Fixed values of the study: trees, seed.
 TREES = 500
 SEED = 1
-# Rows per task of a fit; a small cell is not worth many tasks per tree level.
+# Training rows up to which a cell's trees are grown in tasks; larger cells have trees whose rows are spread.
+LOCAL_ROWS = 100_000
+# Rows times trees that one task holds at once.
+ENTRIES = 1_000_000
+# Rows per task of a fit with spread rows.
 _TASK_ROWS = 50_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+# Chance that a row is drawn so many times or fewer, for bootstraps by independent draws of mean 1.
+_DRAWN = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(16)])
+
+
+def hashed(x: np.ndarray) -> np.ndarray:
+    """Bijective mixing of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def tree_seeds(slot: int, k: int, first: int, stop: int) -> np.ndarray:
+    """Seeds of the trees first..stop-1 of a cell."""
+    cell = hashed(np.array([(slot << 20) + k], np.uint64) + np.uint64(SEED) * _ODD)
+    return hashed(cell + np.arange(first, stop, dtype=np.uint64) * _ODD)
+
+
+def bootstrap(seeds: np.ndarray, sample_ix: np.ndarray) -> np.ndarray:
+    """How often each tree draws each row: (tree, row). It depends on the tree and the row's number alone, not on the layout."""
+    rows = hashed(sample_ix.astype(np.int64).view(np.uint64) + _ODD)
+    u = (hashed(seeds[:, None] ^ rows[None, :]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.searchsorted(_DRAWN, u.ravel()).reshape(u.shape)
+
+
+def feature_order(seeds: np.ndarray, n_features: int) -> np.ndarray:
+    """The order in which nodes try features: (node, place)."""
+    return np.argsort(hashed(seeds[:, None] + np.arange(1, n_features + 1, dtype=np.uint64)[None, :] * _ODD), axis=1, kind="stable")
+
+
+def child_seeds(seeds: np.ndarray, side: int) -> np.ndarray:
+    return hashed(seeds * np.uint64(2) + np.uint64(side + 1))
+
+
+class Trees:
+    """Trees of one cell as flat arrays: feature (-1 for a leaf), threshold, children, share of positive weight. Roots come first."""
+
+    def __init__(self, x: np.ndarray, positive: np.ndarray, drawn: np.ndarray, seeds: np.ndarray, weights: tuple[float, float]):
+        """Grow a tree for every row of `drawn` until nodes are pure or their rows equal.
+
+        A node tries the square root of all features (rounded down) in its own order, and goes on to further ones as long as
+        none of them parts its rows. The best cut by weighted Gini impurity is taken; of equal ones the first feature
+        tried, then the least threshold, half way between two values. `weights` are those of negative and positive rows.
+        """
+        self.n_features = x.shape[1]
+        distinct = [np.unique(x[:, f], return_inverse=True) for f in range(self.n_features)]
+        self.codes = np.stack([c.reshape(-1) for _, c in distinct], axis=1).astype(np.int64)
+        self.values = [v for v, _ in distinct]
+        self.positive = positive
+        self.weights = weights
+        tree, row = np.nonzero(drawn)
+        times = drawn[tree, row]
+        n = len(seeds)
+        self.feature, self.threshold = [np.full(n, -1)], [np.zeros(n)]
+        self.left, self.right = [np.full(n, -1)], [np.full(n, -1)]
+        self.share = []
+        node, first = tree, 0
+        while len(seeds):
+            pos = np.bincount(node, times * positive[row], len(seeds))
+            neg = np.bincount(node, times * ~positive[row], len(seeds))
+            p, q = pos * weights[1], neg * weights[0]
+            # a tree that drew no row says nothing
+            self.share.append(np.divide(p, p + q, out=np.full(len(p), 0.5), where=p + q > 0))
+            mixed = (pos > 0) & (neg > 0)
+            inside = mixed[node]
+            node, row, times = node[inside], row[inside], times[inside]
+            feature, low, high = self._best_cuts(node, row, times, pos, neg, mixed, seeds)
+            split = np.flatnonzero(feature >= 0)
+            at = first + len(seeds) + 2 * np.arange(len(split))
+            self.feature[-1][split] = feature[split]
+            for f in np.unique(feature[split]):
+                mine = split[feature[split] == f]
+                self.threshold[-1][mine] = (self.values[f][low[mine]] + self.values[f][high[mine]]) / 2
+            self.left[-1][split], self.right[-1][split] = at, at + 1
+            inside = feature[node] >= 0
+            node, row, times = node[inside], row[inside], times[inside]
+            place = np.zeros(len(seeds), np.int64)
+            place[split] = np.arange(len(split))
+            right = self.codes[row, feature[node]] > low[node]
+            node = 2 * place[node] + right
+            first += len(seeds)
+            seeds = np.stack([child_seeds(seeds[split], 0), child_seeds(seeds[split], 1)], axis=1).reshape(-1)
+            if len(seeds):
+                for part, empty in ((self.feature, -1), (self.threshold, 0.0), (self.left, -1), (self.right, -1)):
+                    part.append(np.full(len(seeds), empty))
+        self.feature, self.threshold, self.left, self.right, self.share = (
+            np.concatenate(a) for a in (self.feature, self.threshold, self.left, self.right, self.share)
+        )
+        self.n_trees = n
+
+    def _best_cuts(self, node, row, times, pos, neg, mixed, seeds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per node the feature of the best cut (-1: none), and the codes on either side of it."""
+        n = len(seeds)
+        feature, low, high = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        best = np.full(n, -np.inf)
+        tries = max(1, int(np.sqrt(self.n_features)))
+        order = np.zeros((n, self.n_features), np.int64)
+        order[mixed] = feature_order(seeds[mixed], self.n_features)
+        width = max(1, int(self.codes.max(initial=0)).bit_length())
+        for done in range(0, self.n_features, tries):
+            for place in range(done, min(done + tries, self.n_features)):
+                if not len(node):
+                    return feature, low, high
+                chosen = order[:, place]
+                # node, code, class and count in one number: one sort lines everything up
+                key = (((node << width) | self.codes[row, chosen[node]]) << 1 | self.positive[row]) << 8 | times
+                key = np.sort(key)
+                count, is_pos, code, at = key & 255, key >> 8 & 1, key >> 9 & ((1 << width) - 1), key >> (9 + width)
+                cuts = np.flatnonzero((at[1:] == at[:-1]) & (code[1:] != code[:-1]))
+                if not len(cuts):
+                    continue
+                starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                p, q = np.cumsum(count * is_pos), np.cumsum(count * (1 - is_pos))
+                base_p, base_q = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                base_p[at[starts]] = p[starts] - (count * is_pos)[starts]
+                base_q[at[starts]] = q[starts] - (count * (1 - is_pos))[starts]
+                of = at[cuts]
+                lp, lq = (p[cuts] - base_p[of]) * self.weights[1], (q[cuts] - base_q[of]) * self.weights[0]
+                rp, rq = pos[of] * self.weights[1] - lp, neg[of] * self.weights[0] - lq
+                gain = (lp * lp + lq * lq) / (lp + lq) + (rp * rp + rq * rq) / (rp + rq)
+                begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                top = np.maximum.reduceat(gain, begin)
+                is_top = np.flatnonzero(gain == np.repeat(top, np.diff(np.concatenate([begin, [len(of)]]))))
+                nodes, first = np.unique(of[is_top], return_index=True)
+                better = top > best[nodes]
+                nodes, cut = nodes[better], cuts[is_top[first[better]]]
+                best[nodes], feature[nodes] = top[better], chosen[nodes]
+                low[nodes], high[nodes] = code[cut], code[cut + 1]
+            # nodes without a cut so far go on to their next features
+            open_still = feature[node] < 0
+            node, row, times = node[open_still], row[open_still], times[open_still]
+        return feature, low, high
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """Sum over all trees of the leaves' shares, for every row."""
+        total = np.zeros(len(x))
+        for start in range(0, len(x), max(1, ENTRIES // self.n_trees)):
+            part = x[start : start + max(1, ENTRIES // self.n_trees)]
+            node = np.repeat(np.arange(self.n_trees)[:, None], len(part), axis=1)
+            rows = np.broadcast_to(np.arange(len(part)), node.shape)
+            going = self.feature[node] >= 0
+            while going.any():
+                at = node[going]
+                left = part[rows[going], self.feature[at]] <= self.threshold[at]
+                node[going] = np.where(left, self.left[at], self.right[at])
+                going = self.feature[node] >= 0
+            total[start : start + len(part)] = self.share[node].sum(axis=0)
+        return total
+
+
+def class_weights(positive: np.ndarray, balanced: bool) -> tuple[float, float]:
+    """Weights of negative and positive rows: 1, or such that both classes of the cell weigh the same."""
+    n, p = len(positive), int(positive.sum())
+    if not balanced or not 0 < p < n:
+        return 1.0, 1.0
+    return n / (2 * (n - p)), n / (2 * p)
+
+
+def grown_together(train: DataFrame, test: DataFrame, sizes: DataFrame, balanced: bool, trees: int) -> DataFrame:
+    """(slot, K, sample_ix, class, p_pos) of the test rows of all cells in `sizes(slot, K, n)`, in one job.
+
+    A task has a cell's rows and some of its trees: few when the cell is large or cells are few, so that the work spreads over all
+    cores and a task holds about ENTRIES drawn rows. Draws are hashes, so the layout changes nothing.
+    """
+    spark = train.sparkSession
+    cells = sizes.count()
+    spread = -(-2 * spark.sparkContext.defaultParallelism // max(cells, 1))
+    parts = F.least(F.greatest(F.lit(spread), F.ceil(F.col("n") * F.lit(trees) / F.lit(ENTRIES))), F.lit(trees)).cast("int")
+    sizes = sizes.select("slot", "K", parts.alias("parts"))
+    rows = train.select("slot", "K", "sample_ix", F.lit(None).cast("string").alias("class"), "is_pos", "x").unionByName(
+        test.select("slot", "K", "sample_ix", "class", F.lit(None).cast("boolean").alias("is_pos"), "x")
+    )
+    rows = rows.join(sizes, ["slot", "K"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def grow(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        slot, k, part, parts = key
+        learn = cell["is_pos"].notna().to_numpy()
+        x = np.stack(cell["x"].to_numpy()).astype(np.float64)
+        out = cell.loc[~learn, ["slot", "K", "sample_ix", "class"]].copy()
+        first, stop = part * trees // parts, (part + 1) * trees // parts
+        positive = cell.loc[learn, "is_pos"].to_numpy().astype(bool)
+        seeds = tree_seeds(slot, k, first, stop)
+        drawn = bootstrap(seeds, cell.loc[learn, "sample_ix"].to_numpy())
+        out["total"] = Trees(x[learn], positive, drawn, seeds, class_weights(positive, balanced)).shares(x[~learn])
+        return out
+
+    sums = rows.groupBy("slot", "K", "part", "parts").applyInPandas(
+        grow, "slot int, K int, sample_ix long, class string, total double"
+    )
+    sums = sums.groupBy("slot", "K", "sample_ix", "class").agg(F.sum("total").alias("total"))
+    return sums.select("slot", "K", "sample_ix", "class", (F.col("total") / trees).alias("p_pos"))
+
+
+def _spread_fit(train: DataFrame, test: DataFrame, slot: int, k: int, size: int, balanced: bool, trees: int) -> DataFrame:
+    """One large cell by Spark ML, whose trees see binned features of spread rows."""
+    here = (F.col("slot") == slot) & (F.col("K") == k)
+    rows = train.where(here).select(F.col("is_pos").cast("double").alias("label"), array_to_vector("x").alias("features"))
+    rows = rows.coalesce(1 + size // _TASK_ROWS)
+    if balanced:
+        n = rows.groupBy("label").count().collect()
+        total = sum(r["count"] for r in n)
+        weight = reduce(
+            lambda acc, r: acc.when(F.col("label") == r["label"], total / (len(n) * r["count"])), n, F.when(F.lit(False), 0.0)
+        )
+        rows = rows.withColumn("weight", weight)
+    forest = RandomForestClassifier(
+        numTrees=trees, featureSubsetStrategy="sqrt", seed=SEED, maxDepth=30, maxMemoryInMB=1024,
+        probabilityCol="probability", **({"weightCol": "weight"} if balanced else {}),
+    )
+    model = forest.fit(rows)
+    scored = model.transform(test.where(here).withColumn("features", array_to_vector("x")))
+    return settle(
+        scored.select("slot", "K", "sample_ix", "class", F.get(vector_to_array("probability"), F.lit(1)).alias("p_pos")), "forest"
+    )
 
 
 def predict(
     train: DataFrame, test: DataFrame, design: Design, balanced: bool = False,
-    trees: int = TREES, name: str = "RF", at_once: int = 4,
+    trees: int = TREES, name: str = "RF", local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
     """Fit one forest per cell and score its test rows.
 
-    Rows are stored by cell, so each fit reads its own cell only; a few fits
-    run side by side to fill the cluster between their stages.
+    Trees have no depth limit and every value of a feature may be a cut. All cells of `local_rows` rows (train and test) or
+    fewer go in one job; larger ones are fitted one after the other with their rows spread over tasks.
     """
-    train = settle(train.select("slot", "K", "is_pos", "x"), "forest-train", "slot", "K")
+    train = settle(train.select("slot", "K", "sample_ix", "is_pos", "x"), "forest-train", "slot", "K")
     test = settle(test.select("slot", "K", "sample_ix", "class", "x"), "forest-test", "slot", "K")
-
-    cells = [(r["slot"], r["K"], r["count"]) for r in train.groupBy("slot", "K").count().collect()]
-
-    def one(cell: tuple[int, int, int]) -> DataFrame:
-        slot, k, size = cell
-        here = (F.col("slot") == slot) & (F.col("K") == k)
-        rows = train.where(here).select(F.col("is_pos").cast("double").alias("label"), array_to_vector("x").alias("features"))
-        rows = rows.coalesce(1 + size // _TASK_ROWS)
-        if balanced:
-            n = rows.groupBy("label").count().collect()
-            total = sum(r["count"] for r in n)
-            weight = reduce(
-                lambda acc, r: acc.when(F.col("label") == r["label"], total / (len(n) * r["count"])), n, F.when(F.lit(False), 0.0)
-            )
-            rows = rows.withColumn("weight", weight)
-        forest = RandomForestClassifier(
-            numTrees=trees, featureSubsetStrategy="sqrt", seed=SEED, maxDepth=30, maxMemoryInMB=1024,
-            probabilityCol="probability", **({"weightCol": "weight"} if balanced else {}),
-        )
-        model = forest.fit(rows)
-        scored = model.transform(test.where(here).withColumn("features", array_to_vector("x")))
-        return settle(
-            scored.select("slot", "K", "sample_ix", "class", F.get(vector_to_array("probability"), F.lit(1)).alias("p_pos")),
-            "forest",
-        )
-
-    with ThreadPool(at_once) as pool:
-        parts = pool.map(inheritable_thread_target(train.sparkSession)(one), cells)
-    scored = reduce(DataFrame.unionByName, parts)
+    held = test.groupBy("slot", "K").agg(F.count(F.lit(1)).alias("held"))
+    sizes = train.groupBy("slot", "K").agg(F.count(F.lit(1)).alias("n")).join(held, ["slot", "K"])
+    sizes = settle(sizes.withColumn("n", F.col("n") + F.col("held")), "forest-sizes")
+    scored = grown_together(train, test, sizes.where(F.col("n") <= local_rows), balanced, trees)
+    # each of these has more rows than a task should hold, so there are few
+    for r in sizes.where(F.col("n") > local_rows).collect():
+        scored = scored.unionByName(_spread_fit(train, test, r["slot"], r["K"], r["n"], balanced, trees))
     return decided(scored, name, design)
