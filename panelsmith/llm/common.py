@@ -191,15 +191,15 @@ def shared_buckets(members: DataFrame, name: str) -> DataFrame:
     return settle(live, f"{name}-shared")
 
 
-def linkable(live: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def linkable(live: DataFrame, sets: DataFrame, name: str, everywhere: bool = False) -> DataFrame:
     """The rows of shared_buckets as bucket_components wants them; written out.
 
-    `sets(node, size, *MARKS)` has the size and the marks of every node's set; the marks stay with rows of crowded buckets.
-    `mine` has all crowded buckets of a node.
+    `sets(node, size, *MARKS)` has the size and the marks of every node's set; the marks stay with rows of crowded buckets, or
+    with all (`everywhere`), which costs space and saves comparisons. `mine` has all crowded buckets of a node.
     """
     mine = live.where("crowded").groupBy("node").agg(F.collect_list("key").alias("mine"))
     rows = live.join(sets.select("node", "size", *MARKS), "node").join(mine, "node", "left")
-    crowd = [F.when(F.col("crowded"), F.col(c)).alias(c) for c in ("mine", *MARKS)]
+    crowd = [F.when(F.col("crowded") | F.lit(everywhere and c != "mine"), F.col(c)).alias(c) for c in ("mine", *MARKS)]
     return settle(rows.select("key", "node", "crowded", "size", *crowd), f"{name}-live")
 
 
@@ -231,9 +231,9 @@ def bucket_components(live: DataFrame, near: Callable[[DataFrame], DataFrame], t
         # J >= t means min >= t max, and a symmetric difference of (1 - t) / (1 + t) of both sizes at most
         smaller, larger = F.least("size", "head_size"), F.greatest("size", "head_size")
         apart = sum(F.bit_count(F.col(m).bitwiseXOR(F.col(f"head_{m}"))) for m in MARKS)
-        fits = (smaller >= larger * (threshold - 1e-9)) & (
-            ~live.crowded | (apart <= (smaller + larger) * ((1 - threshold) / (1 + threshold) + 1e-9))
-        )
+        near_marks = apart <= (smaller + larger) * ((1 - threshold) / (1 + threshold) + 1e-9)
+        # rows without marks may be near
+        fits = (smaller >= larger * (threshold - 1e-9)) & F.coalesce(near_marks, F.lit(True))
         first = F.col("mine").isNull() | (live.key == F.array_min(F.array_intersect("mine", "theirs")))
         met = live.join(to, (live.key == to.key) & (F.col("root") != F.col("head_root")) & fits & first)
         pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()

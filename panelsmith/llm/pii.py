@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,6 +116,17 @@ LETTERS = ("0123456789ABCDEF", "abcdefghijklmnop")
 REACH = 8
 
 
+def _told(kind: str) -> Callable[[Column], Column]:
+    """A gap and what follows it: a mark with the value for a valid match, any other match as it stands."""
+
+    def told(x: Column) -> Column:
+        value = F.concat(F.lit(f"{kind}:"), _normal(kind, x["m"]))
+        mark = F.concat(F.lit(f" {MARK}"), F.translate(F.hex(F.encode(value, "UTF-8")), *LETTERS), F.lit(" "))
+        return F.concat(x["gap"], F.when(x["m"].isNull(), "").when(valid(kind, x["m"]), mark).otherwise(x["m"]))
+
+    return told
+
+
 def line_words(line: str) -> Column:
     """The words of a line in lower case, with every valid match in its place as MARK and kind:value in letters.
 
@@ -121,12 +134,7 @@ def line_words(line: str) -> Column:
     """
     text = F.translate(F.col(line), MARK, "")
     for kind in KINDS:
-        def told(x: Column, kind: str = kind) -> Column:
-            value = F.concat(F.lit(f"{kind}:"), _normal(kind, x["m"]))
-            mark = F.concat(F.lit(f" {MARK}"), F.translate(F.hex(F.encode(value, "UTF-8")), *LETTERS), F.lit(" "))
-            return F.concat(x["gap"], F.when(x["m"].isNull(), "").when(valid(kind, x["m"]), mark).otherwise(x["m"]))
-
-        with_marks = F.array_join(F.transform(_matches(text, kind), told), "")
+        with_marks = F.array_join(F.transform(_matches(text, kind), _told(kind)), "")
         text = F.when(worth_a_look(kind, F.col(line)), with_marks).otherwise(text)
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 

@@ -24,7 +24,9 @@ BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
 
 @dataclass(frozen=True)
 class Shape:
-    buckets: int = 1 << 15
+    """`least_docs`: buckets that fewer learned documents hold stay empty, so that no text is learned by its own rare words."""
+
+    buckets: int = 1 << 18
     dims: int = 16
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 16
@@ -32,6 +34,7 @@ class Shape:
     rate: float = 0.01
     batch: int = 64
     seed: int = 5
+    least_docs: int = 3
 
 
 @dataclass
@@ -123,6 +126,12 @@ def train(texts: list[bytes], labels: np.ndarray, shape: Shape = Shape(), positi
     for t in texts:
         at, _, table = laid_out([t], features)
         docs.append(table[at])
+    held = np.zeros(shape.buckets, np.int64)
+    for d in docs:
+        held[np.unique(d)] += 1
+    rare = held < shape.least_docs
+    net.embedding[rare] = 0
+    docs = [np.where(rare[d], 0, d) for d in docs]
     share = float(labels.mean())
     net.out_bias = float(np.log(share / (1 - share)))
     dense = [*net.taps, *net.bias, net.out]
@@ -139,7 +148,9 @@ def train(texts: list[bytes], labels: np.ndarray, shape: Shape = Shape(), positi
             sizes = np.array([len(docs[i]) for i in part])
             starts = np.cumsum(sizes) - sizes
             e = net.embedding[words].sum(axis=1)
-            closing = words[:, 0] == 0
+            # the two empty words that close a text
+            closing = np.zeros(len(words), bool)
+            closing[starts + sizes - 1] = closing[starts + sizes - 2] = True
             pooled, where = [], []
             for width, taps, bias in zip(shape.widths, net.taps, net.bias):
                 z = e @ taps[0]

@@ -218,7 +218,7 @@ def test_hosts_that_fail_often_lose_documents(spark):
 
     good = " ".join(f"w{i}" for i in range(60))
     marked, short = good + " ###" * 20, "too short"
-    shares = {"good": (300, 0.02, 0.02), "bad": (200, 0.3, 0.5), "doubt": (300, 0.03, 0.17), "tiny": (2, 0.5, 0.5), "other": (900, 0.03, 0.02)}
+    shares = {"good": (300, 0.02, 0.02), "bad": (200, 0.3, 0.5), "doubt": (300, 0.03, 0.37), "tiny": (2, 0.5, 0.5), "other": (900, 0.03, 0.02)}
     rows = []
     for host, (n, few, many) in shares.items():
         for i in range(n):

@@ -197,16 +197,16 @@ def test_disclosing_terms_are_found(spark):
     want = disclosing_by_hand([t for _, t in rows])
     assert got == {k: (c, round(s, 9), round(b, 9), a) for k, (c, s, b, a) in want.items()}
     found = {(t, e.split(":")[0]): v[3] for (t, e), v in got.items()}
-    assert found["zorblatt", "email"] == "remove" and found["quux042", "ip"] == "remove" and found["blurp", "phone"] == "generalise"
+    assert found["from", "email"] == "remove" and {found[x] for x in (("zorblatt", "email"), ("quux042", "ip"), ("blurp", "phone"))} == {"generalise"}
     assert all(s <= 1 for _, s, _, _ in got.values())
     spans = {r.doc_id: [s["found"] for s in r.term] for r in pii.sensitive_spans(docs).collect()}
     assert spans[95] == ["ZORBLATT"] and spans[98] == ["quux042"] and spans[20] == [] and spans[99] == []
     assert "zorblatt42" not in str(spans)
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
-    assert clean[95] == "ask , please" and clean[98] == " zorblatt42" and clean[20] == dict(rows)[20]
+    assert clean[95] == "ask [name], please" and clean[98] == "[code] zorblatt42" and clean[20] == dict(rows)[20]
     assert clean[96] is None and clean[97] == "" and clean[99] == dict(rows)[99]
     assert clean[90].startswith("[word] ") and clean[80].startswith("[name] ") and clean[80].endswith("[phone]")
-    assert "zed@" not in clean[0] and "[email]" in clean[0] and "Zorblatt" not in clean[0]
+    assert "zed@" not in clean[0] and "  [email] today" in clean[0] and "[name] wrote" in clean[0]
 
 
 def test_private_data_in_very_long_texts(spark):
@@ -218,7 +218,7 @@ def test_private_data_in_very_long_texts(spark):
     crowd = [(10 + k, " ".join(f"w{j} m{j}@x.example" for j in range(1500)) + f" {k}") for k in range(3)]
     docs = spark.createDataFrame([(1, numbers), (2, mails), *crowd], "doc_id long, text string")
     started = time.time()
-    out = {r.doc_id: r for r in pii.sensitive_spans(docs).select("doc_id", F.size("email").alias("n"), F.element_at("email", -1).alias("e")).collect()}
+    out = {r.doc_id: r for r in pii.sensitive_spans(docs).select("doc_id", F.size("email").alias("n"), F.try_element_at("email", F.lit(-1)).alias("e")).collect()}
     assert (out[1].n, out[2].n, out[10].n) == (0, 40_000, 1500) and out[2].e["stop"] == len(mails)
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).where("doc_id < 3").collect()}
     assert clean[1] == numbers and clean[2] == " ".join(["[email]"] * 40_000)
