@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import WordHashes, among, bitmap, mixed, slices, utf8, word_hashes
+from panelsmith.llm.common import among, bitmap, mixed, slices, utf8
 from panelsmith.session import settle
 
 #: Words of the longest phrase.
@@ -24,8 +26,10 @@ SCALE = 2_000_000
 STEP = 10_000
 #: Phrases of all languages that tasks are sent at once.
 SENT = 200_000
-#: Rows of counts a task keeps before it passes them on.
-KEPT = 300_000
+#: Counts a task keeps before it passes them on, and hashes it sorts at once.
+KEPT, SORTED = 250_000, 2_000_000
+#: Bytes of text that are looked at together.
+SLICE = 250_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z to lower case, marks that end a piece to full stops, tabs to blanks. A full stop is in no word.
 _BYTES = bytes(
@@ -33,44 +37,68 @@ _BYTES = bytes(
 )
 
 
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    inverse = np.uint64(pow(int(_ODD), -1, 2**64))
+    one = np.ones(1, np.uint64)
+    return tuple(np.cumprod(np.concatenate([one, np.full(n - 1, x, np.uint64)])) for x in (_ODD, inverse))
+
+
+#: A number for every byte value.
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+
+
 class Words:
-    """The words of some texts of some languages, one after the other, with full stops between pieces and texts.
+    """The words of some texts of some languages, one after the other.
 
     `run(i)` are hashes of the `i` words from each place on, in their language; `whole(i)` tells where so many words stand in one
-    piece.
+    piece. Words are found and hashed as arrays of bytes; only those that are named become strings.
     """
 
-    def __init__(self, texts: list[bytes], langs: list[bytes], hashes: WordHashes):
-        parts = [t.translate(_BYTES).replace(b".", b" . ").split(b" ") for t in texts]
-        parts = [[w for w in p if w] + [b"."] for p in parts]
-        self.words = [w for p in parts for w in p]
-        self.value = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, len(self.words))
-        seed = np.fromiter((hashes[b"\0" + x] for x in langs), np.uint64, len(langs))
-        self.seed = np.repeat(seed, [len(p) for p in parts])
-        self.lang = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
+    def __init__(self, texts: list[bytes], langs: list[bytes]):
+        self.flat = b".".join([*(t.translate(_BYTES) for t in texts), b""])
+        data = np.frombuffer(self.flat, np.uint8)
+        stop = data == 46
+        inside = ~(stop | (data == 32))
+        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        power, inverse = _powers(1 << max(21, len(data).bit_length()))
+        upto = np.cumsum(_BYTE[data] * power[: len(data)])
+        upto = np.concatenate([np.zeros(1, np.uint64), upto])
+        size = (self.end - self.start).astype(np.uint64)
+        self.value = mixed((upto[self.end] - upto[self.start]) * inverse[self.start] + size * _ODD)
+        # words from each place to the end of its piece
+        piece = np.cumsum(stop)[self.start] if len(self.start) else np.zeros(0, np.int64)
+        last = np.flatnonzero(np.diff(piece, append=-1))
+        self.left = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(piece)) + 1
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        self.text = np.searchsorted(ends, self.start, side="right")
         self.langs = langs
-        stops = np.fromiter((w == b"." for w in self.words), bool, len(self.words))
-        # words from each place to the next full stop
-        ends = np.flatnonzero(stops)
-        self.left = ends[np.searchsorted(ends, np.arange(len(stops)))] - np.arange(len(stops)) if len(ends) else np.zeros(0, int)
+        seeds = {x: xxhash.xxh64_intdigest(x, 13) for x in set(langs)}
+        self.seed = np.fromiter((seeds[x] for x in langs), np.uint64, len(langs))[self.text]
 
     def whole(self, size: int) -> np.ndarray:
         return self.left >= size
 
     def run(self, size: int) -> np.ndarray:
-        out = self.seed.copy()
+        out = self.seed
         for k in range(size):
-            out = mixed(out * _ODD + np.concatenate([self.value[k:], np.zeros(min(k, len(out)), np.uint64)])[: len(out)])
+            following = np.concatenate([self.value[k:], np.zeros(min(k, len(out)), np.uint64)])[: len(out)]
+            out = mixed(out * _ODD + following)
         return out
 
     def phrase(self, at: int, size: int) -> bytes:
-        return b" ".join(self.words[at : at + size])
+        return b" ".join(self.flat[self.start[at] : self.end[at + size - 1]].split())
+
+    def lang(self, at: int) -> bytes:
+        return self.langs[self.text[at]]
 
 
 def _words_of(whole: pa.RecordBatch) -> Iterator[Words]:
-    for batch in slices(whole, "text", 6_000_000):
+    for batch in slices(whole, "text", SLICE):
         langs = [x or b"" for x in utf8(batch.column(0))]
-        yield Words([t or b"" for t in utf8(batch.column(1))], langs, word_hashes())
+        yield Words([t or b"" for t in utf8(batch.column(1))], langs)
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
@@ -79,7 +107,9 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "f"])
 
 
-def _phrase_counts(texts: DataFrame, pick, least: int) -> DataFrame:
+def _phrase_counts(
+    texts: DataFrame, pick: Callable[[Words], Iterable[tuple[int, np.ndarray]]], least: int
+) -> DataFrame:
     """(lang, phrase, f) of the phrases with `least` occurrences or more among the places that `pick(words)` gives as (size, places).
 
     Equal phrases of a batch become one row, those of a task are kept together as long as they are few.
@@ -93,7 +123,7 @@ def _phrase_counts(texts: DataFrame, pick, least: int) -> DataFrame:
                     hashes = words.run(size)[places]
                     _, first, n = np.unique(hashes, return_index=True, return_counts=True)
                     for at, times in zip(places[first].tolist(), n.tolist()):
-                        counts[words.langs[words.lang[at]], words.phrase(at, size)] += times
+                        counts[words.lang(at), words.phrase(at, size)] += times
                 if len(counts) > KEPT:
                     yield _counted(counts)
                     counts.clear()
@@ -103,48 +133,70 @@ def _phrase_counts(texts: DataFrame, pick, least: int) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, f) of all single words."""
-    return _phrase_counts(texts, lambda words: [(1, np.flatnonzero(words.whole(1)))], 1)
+def _hashed_counts(texts: DataFrame, keys: Callable[[Words], np.ndarray], least: int) -> np.ndarray:
+    """A bitmap of the hashes that `keys` gives `least` times or more over all texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        for whole in batches:
+            for w in _words_of(whole):
+                waiting.append(keys(w))
+                if sum(map(len, waiting)) > SORTED:
+                    yield counted(waiting)
+                    waiting.clear()
+        if waiting:
+            yield counted(waiting)
 
-def pair_counts(texts: DataFrame, frequent: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
-    """(lang, phrase, f) of all pairs of words with `least` occurrences or more, and a bitmap of their hashes.
+    def counted(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.sort(np.concatenate(waiting))
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+        n = np.diff(first, append=len(found))
+        return pa.RecordBatch.from_arrays([pa.array(found[first].view(np.int64)), pa.array(n)], names=["h", "f"])
+
+    counts = texts.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return bitmap(settle(counts.select("h"), "phrases-hashed"), "h")
 
-    Pairs of `frequent` words are counted by hash first, which is never too few; pairs whose hash is frequent are counted as such.
-    """
-    spark = texts.sparkSession
-    words = spark.sparkContext.broadcast(bitmap(hashed_phrases(frequent), "h"))
 
-    def frequent_pairs(w: Words) -> np.ndarray:
-        known = among(words.value, w.run(1).view(np.int64)) & w.whole(1)
-        return np.flatnonzero(known & np.concatenate([known[1:], [False]]) & w.whole(2))
+def language_totals(texts: DataFrame) -> DataFrame:
+    """(lang, n): all words of every language."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for w in _words_of(whole):
-                new, n = np.unique(w.run(2)[frequent_pairs(w)], return_counts=True)
-                both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                sums = np.bincount(at, np.concatenate([sums, n]), len(both)).astype(np.int64)
-                keys = both
-                if len(keys) > KEPT:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["h", "f"])
-                    keys, sums = keys[:0], sums[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["h", "f"])
-
-    counts = texts.mapInArrow(hashed, "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    bits = bitmap(settle(counts.select("h"), "phrases-hashed"), "h")
-    held = spark.sparkContext.broadcast(bits)
+                n = Counter()
+                for lang, found in zip(w.langs, np.bincount(w.text, minlength=len(w.langs)).tolist()):
+                    n[lang] += found
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.decode() for x in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["lang", "n"]
+                )
+
+    return texts.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def frequent_counts(texts: DataFrame, size: int, within: Broadcast | None, least: int) -> tuple[DataFrame, np.ndarray]:
+    """(lang, phrase, f) of the words (size 1) or pairs (2) with `least` occurrences or more, and a bitmap of their hashes.
+
+    They are counted by hash first, which is never too few; those whose hash is frequent are then counted as such. Pairs are
+    looked for among words of the bitmap `within` only.
+    """
+
+    def places(w: Words) -> np.ndarray:
+        known = w.whole(size)
+        if within is not None:
+            words = among(within.value, w.run(1).view(np.int64))
+            known &= words & np.concatenate([words[1:], [False]])
+        return np.flatnonzero(known)
+
+    bits = _hashed_counts(texts, lambda w: w.run(size)[places(w)], least)
+    held = texts.sparkSession.sparkContext.broadcast(bits)
 
     def pick(w: Words) -> list[tuple[int, np.ndarray]]:
-        places = frequent_pairs(w)
-        return [(2, places[among(held.value, w.run(2)[places].view(np.int64))])]
+        at = places(w)
+        return [(size, at[among(held.value, w.run(size)[at].view(np.int64))])]
 
-    pairs = settle(_phrase_counts(texts, pick, least), "phrases-pairs")
-    for b in (words, held):
-        b.destroy()
-    return pairs, bits
+    found = settle(_phrase_counts(texts, pick, least), "phrases-frequent")
+    held.destroy()
+    return found, bits
 
 
 def hashed_phrases(rows: DataFrame) -> DataFrame:
@@ -158,13 +210,14 @@ def hashed_phrases(rows: DataFrame) -> DataFrame:
 
 
 def phrase_hashes(langs: list[bytes], phrases: list[bytes]) -> np.ndarray:
-    hashes = word_hashes()
-    parts = [p.split(b" ") for p in phrases]
-    out = np.fromiter((hashes[b"\0" + x] for x in langs), np.uint64, len(langs))
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    for k in range(LONGEST):
-        word = np.fromiter((hashes[p[k]] if len(p) > k else 0 for p in parts), np.uint64, len(parts))
-        out = np.where(size > k, mixed(out * _ODD + word), out)
+    """The hashes that `Words.run` gives these phrases wherever they stand."""
+    words = Words(phrases, langs)
+    first = np.searchsorted(words.text, np.arange(len(phrases)))
+    size = np.bincount(words.text, minlength=len(phrases))
+    out = np.zeros(len(phrases), np.uint64)
+    for n in np.unique(size):
+        mine = size == n
+        out[mine] = words.run(int(n))[first[mine]]
     return out.view(np.int64)
 
 
@@ -291,10 +344,11 @@ def collocations(
     texts = docs.select(
         F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    words = settle(word_counts(texts), "phrases-words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = settle(words.where(F.col("f") >= least), "phrases-frequent")
-    pairs, held = pair_counts(texts, frequent, least)
+    totals = settle(language_totals(texts), "phrases-totals")
+    frequent, held = frequent_counts(texts, 1, None, least)
+    singles = spark.sparkContext.broadcast(held)
+    pairs, held = frequent_counts(texts, 2, singles, least)
+    singles.destroy()
     bits = spark.sparkContext.broadcast(held)
     known = frequent.union(pairs)
     nodes = settle(scored(pairs.withColumn("size", F.lit(2)), known), "phrases-nodes")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import same, text_key
+from panelsmith.llm.common import computed, same, text_key
 from panelsmith.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -127,16 +127,18 @@ def _told(kind: str) -> Callable[[Column], Column]:
     return told
 
 
-def line_words(line: str) -> Column:
-    """The words of a line in lower case, with every valid match in its place as MARK and kind:value in letters.
+def with_words(lines: DataFrame) -> DataFrame:
+    """`lines(line)` with words: in lower case, and every valid match in its place as MARK and kind:value in letters.
 
     Kinds are taken one after the other; a match that is not valid stays as it stands, so its words are words like any other.
+    Each text is made once: the next kind looks at the finished one.
     """
-    text = F.translate(F.col(line), MARK, "")
+    rows = lines.withColumn("marked", F.translate("line", MARK, ""))
     for kind in KINDS:
-        with_marks = F.array_join(F.transform(_matches(text, kind), _told(kind)), "")
-        text = F.when(worth_a_look(kind, F.col(line)), with_marks).otherwise(text)
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
+        told = F.array_join(F.transform(_matches("marked", kind), _told(kind)), "")
+        rows = computed(rows, told=F.when(worth_a_look(kind, F.col("line")), told).otherwise(F.col("marked")))
+        rows = rows.drop("marked").withColumnRenamed("told", "marked")
+    return rows.withColumn("words", F.filter(F.split(F.lower("marked"), NOT_WORD), lambda w: w != "")).drop("marked")
 
 
 def terms_of(line: Column) -> Column:
@@ -163,9 +165,9 @@ def disclosing_terms(
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
     look = worth_a_look("email", F.col("line")) | worth_a_look("ip", F.col("line")) | worth_a_look("phone", F.col("line"))
-    # copies of a line meet before anything is counted apart
-    marked = lines.where(look).select(line_words("line").alias("words")).where(F.exists("words", lambda w: w.startswith(MARK)))
-    marked = settle(marked.groupBy("words").agg(F.count("*").alias("n")), "pii-marked")
+    # lines to look at are taken apart once; copies of one meet before anything is counted
+    worded = settle(with_words(lines.where(look)).groupBy("words").agg(F.count("*").alias("n")), "pii-worded")
+    marked = worded.where(F.exists("words", lambda w: w.startswith(MARK)))
     # each protected value with the words around it, once per line
     places = "filter(transform(words, (w, i) -> struct(w, i)), x -> startswith(x.w, mark))"
     around = f"filter(slice(words, greatest(e.i - {reach}, 0) + 1, {2 * reach + 1}), t -> not startswith(t, mark))"
@@ -178,10 +180,8 @@ def disclosing_terms(
     pairs = settle(pairs.where(F.col("contexts") >= min_contexts), "pii-pairs")
     # a line without a match to look at has its words as they stand
     plain = lines.where(~look).select(F.explode(terms_of(F.col("line"))).alias("term"), F.lit(1).cast("long").alias("n"))
-    unmarked = lines.where(look).select(line_words("line").alias("words")).select(
-        F.explode(F.array_distinct(F.filter("words", lambda w: ~w.startswith(MARK)))).alias("term"), F.lit(1).cast("long").alias("n")
-    )
-    counts = plain.union(unmarked).join(pairs.select("term").distinct(), "term", "left_semi")
+    looked = worded.select(F.explode(F.array_distinct(F.filter("words", lambda w: ~w.startswith(MARK)))).alias("term"), "n")
+    counts = plain.union(looked).join(pairs.select("term").distinct(), "term", "left_semi")
     counts = counts.groupBy("term").agg(F.sum("n").alias("lines"))
     entities = rows.select(F.explode(F.expr(f"array_distinct(transform({places}, e -> e.w))")).alias("entity"), "n")
     entities = entities.groupBy("entity").agg(F.sum("n").alias("entity_lines"))
