@@ -105,7 +105,7 @@ def smote(spark, sf_dir):
     return rounded(out, "u", "weighted")
 
 
-@query()
+@query(f"WITH RECURSIVE {parts.selection(SPLITS, 'planted')}, {parts.discriminant()} {PREDICTION_SQL} lda_pred")
 def lda(spark, sf_dir):
     s = study(spark, sf_dir, rule="planted")
     return predictions(s, s.cells(1).lda())

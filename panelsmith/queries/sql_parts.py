@@ -228,6 +228,46 @@ def neighbours(panels: str = "panels", name: str = "knn_pred") -> str:
          CASE WHEN p_pos >= 0.5 THEN 'Cancer' ELSE 'Control' END AS predicted FROM {name}_vote)"""
 
 
+def discriminant(panels: str = "panels", name: str = "lda_pred") -> str:
+    """Pooled covariance of the panel, solved by elimination without exchanges (it is positive definite); needs WITH RECURSIVE."""
+    return f"""
+{name}_centred AS (
+  SELECT rep, split, sample_ix, gene_ix, value - CASE WHEN class = 'Cancer' THEN m1 ELSE m0 END AS c
+  FROM long JOIN splits USING (sample_ix, class) JOIN fit USING (rep, split, gene_ix) WHERE role = 'train'),
+{name}_scatter AS (
+  SELECT a.rep, a.split, a.gene_ix AS ga, b.gene_ix AS gb, sum(a.c * b.c) AS s
+  FROM {name}_centred a JOIN {name}_centred b USING (rep, split, sample_ix) GROUP BY ALL),
+{name}_rows AS (
+  SELECT p.rep, p.split, p."K", p.rank, p.gene_ix, list(s ORDER BY q.rank) AS line
+  FROM {panels} p JOIN {panels} q ON p.rep = q.rep AND p.split = q.split AND p."K" = q."K"
+       JOIN {name}_scatter c ON c.rep = p.rep AND c.split = p.split AND ga = p.gene_ix AND gb = q.gene_ix
+  GROUP BY ALL),
+{name}_system AS (
+  SELECT rep, split, "K", count(*) AS width, any_value(n1) AS n1, any_value(n0) AS n0, list((m1 + m0) / 2 ORDER BY rank) AS middle,
+         list(list_append(list_transform(line, lambda v: v / (n1 + n0 - 2)), m1 - m0) ORDER BY rank) AS m
+  FROM {name}_rows JOIN fit USING (rep, split, gene_ix) GROUP BY rep, split, "K"),
+{name}_solved AS (
+  SELECT rep, split, "K", width, 1::BIGINT AS i, m FROM {name}_system
+  UNION ALL
+  SELECT rep, split, "K", width, i + 1,
+         list_transform(m, lambda line, j: CASE WHEN j = i THEN list_transform(line, lambda v: v / line[i])
+             ELSE list_transform(list_zip(line, m[i]), lambda z: z[1] - line[i] / m[i][i] * z[2]) END)
+  FROM {name}_solved WHERE i <= width),
+{name}_model AS (
+  SELECT rep, split, "K", n1, n0, middle, list_transform(s.m, lambda line: line[width + 1]) AS w
+  FROM (SELECT rep, split, "K", m FROM {name}_solved WHERE i = width + 1) s JOIN {name}_system t USING (rep, split, "K")),
+{name}_test AS (
+  SELECT rep, split, "K", sample_ix, class, list(value ORDER BY rank) AS v
+  FROM (SELECT rep, split, "K", rank, gene_ix FROM {panels}) JOIN long USING (gene_ix) JOIN splits USING (rep, split, sample_ix, class)
+  WHERE role = 'test' GROUP BY ALL),
+{name}_score AS (
+  SELECT rep, split, "K", sample_ix, class, ln(n1::DOUBLE / n0) + list_dot_product(w, v) - list_dot_product(w, middle) AS score
+  FROM {name}_test JOIN {name}_model USING (rep, split, "K")),
+{name} AS (
+  SELECT 'LDA' AS model, rep, split, "K", sample_ix, class, 1 / (1 + exp(-score)) AS p_pos,
+         CASE WHEN 1 / (1 + exp(-score)) >= 0.5 THEN 'Cancer' ELSE 'Control' END AS predicted FROM {name}_score)"""
+
+
 def metrics(predictions: str, name: str = "metrics") -> str:
     return f"""
 {name}_counts AS (
