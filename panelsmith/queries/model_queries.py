@@ -71,7 +71,9 @@ def stage2_panel_restrict(spark, sf_dir):
     return s.stage2_panels.select(s.design.split_of(F.col("slot")).alias("split"), "K", "rank", "gene_ix", "gene")
 
 
-SMOTE_SQL = f"""{parts.selection(3, 'imbalanced')},
+def smote_sql(n_splits: int) -> str:
+    """Synthetic minority rows by split and panel: base row, near row and the place between them."""
+    return f"""{parts.selection(n_splits, 'imbalanced')},
 vec AS (
   SELECT split, "K", sample_ix, class, role, list(value ORDER BY rank) AS v
   FROM panels JOIN long USING (gene_ix) JOIN splits USING (rep, split, sample_ix, class) GROUP BY ALL),
@@ -88,7 +90,10 @@ draws AS (
   SELECT *, md5('smote|1|0|' || split || '|0|' || "K" || '|' || j) AS h FROM keys),
 picked AS (
   SELECT split, "K", j, ('0x' || substr(h, 1, 10))::BIGINT % n_min + 1 AS base_no, ('0x' || substr(h, 11, 10))::BIGINT % n_near + 1 AS nth,
-         ('0x' || substr(h, 21, 10))::BIGINT::DOUBLE / 1099511627776 AS u FROM draws)
+         ('0x' || substr(h, 21, 10))::BIGINT::DOUBLE / 1099511627776 AS u FROM draws)"""
+
+
+SMOTE_SQL = f"""{smote_sql(3)}
 SELECT split, "K", j, base_ix, near_ix, round(u, 6) AS u,
        round(list_sum([(i) * (a + u * (b - a)) for a, b, i in list_zip(v, near_v, range(1, len(v) + 1))]), 6) AS weighted
 FROM picked JOIN (SELECT split, "K", base_no, sample_ix AS base_ix, v FROM minor) USING (split, "K", base_no) JOIN near USING (split, "K", base_ix, nth)"""
@@ -96,6 +101,54 @@ SMOTE_SQL = SMOTE_SQL.replace("[(i) * (a + u * (b - a)) for a, b, i in list_zip(
                               "list_transform(list_zip(v, near_v, range(1, len(v) + 1)), lambda z: z[3] * (z[1] + u * (z[2] - z[1])))")
 
 
+def oversampled_sql(n_splits: int) -> str:
+    """Training vectors with the synthetic rows among them: over(split, K, sample_ix, class, v), and flat with a row per value."""
+    return f"""{smote_sql(n_splits)},
+over AS (
+  SELECT split, "K", sample_ix, class, v FROM vec WHERE role = 'train'
+  UNION ALL
+  SELECT split, "K", -j, 'Cancer', list_transform(list_zip(v, near_v), lambda z: z[1] + u * (z[2] - z[1]))
+  FROM picked JOIN (SELECT split, "K", base_no, sample_ix AS base_ix, v FROM minor) USING (split, "K", base_no)
+       JOIN near USING (split, "K", base_ix, nth)),
+flat AS (SELECT split, "K", sample_ix, class, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM over)"""
+
+
+KNN_OVER_SQL = f"""WITH {oversampled_sql(KNN_SPLITS)},
+devs AS (
+  SELECT split, "K", list(CASE WHEN dev = 0 THEN 1 ELSE dev END ORDER BY place) AS devs
+  FROM (SELECT split, "K", place, stddev_pop(x) AS dev FROM flat GROUP BY ALL) GROUP BY ALL),
+learn AS (SELECT o.*, list_transform(list_zip(v, devs), lambda z: z[1] / z[2]) AS s FROM over o JOIN devs USING (split, "K")),
+ask AS (SELECT t.*, list_transform(list_zip(v, devs), lambda z: z[1] / z[2]) AS s FROM vec t JOIN devs USING (split, "K") WHERE role = 'test'),
+met AS (
+  SELECT q.split, q."K", q.sample_ix, q.class, t.class AS near_class, list_distance(q.s, t.s) AS d,
+         row_number() OVER (PARTITION BY q.split, q."K", q.sample_ix ORDER BY list_distance(q.s, t.s), t.sample_ix) AS nth
+  FROM ask q JOIN learn t ON q.split = t.split AND q."K" = t."K"),
+voted AS (
+  SELECT split, "K", sample_ix, class,
+         CASE WHEN min(d) = 0 THEN sum(CASE WHEN d = 0 AND near_class = 'Cancer' THEN 1.0::DOUBLE ELSE 0 END) / sum(CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 0 END)
+              ELSE sum(CASE WHEN near_class = 'Cancer' THEN 1 / d ELSE 0 END) / sum(1 / d) END AS p_pos
+  FROM met WHERE nth <= 3 GROUP BY ALL),
+both_pred AS (SELECT 'kNN' AS model, 0 AS rep, *, CASE WHEN p_pos >= 0.5 THEN 'Cancer' ELSE 'Control' END AS predicted FROM voted)
+{PREDICTION_SQL} both_pred"""
+
+
+LDA_OVER_SQL = f"""WITH RECURSIVE {oversampled_sql(5)},
+class_means AS (SELECT split, "K", place, class, avg(x) AS mean, count(*) AS n FROM flat GROUP BY ALL),
+centred AS (SELECT split, "K", sample_ix, place, x - mean AS c FROM flat JOIN class_means USING (split, "K", place, class)),
+scatter AS (
+  SELECT a.split, a."K", a.place, b.place AS other, sum(a.c * b.c) AS s
+  FROM centred a JOIN centred b USING (split, "K", sample_ix) GROUP BY ALL),
+sides AS (
+  SELECT split, "K", place, max(mean) FILTER (class = 'Cancer') AS m1, max(mean) FILTER (class <> 'Cancer') AS m0,
+         max(n) FILTER (class = 'Cancer') AS n1, max(n) FILTER (class <> 'Cancer') AS n0 FROM class_means GROUP BY ALL),
+lda_pred_system AS (
+  SELECT 0 AS rep, split, "K", count(*) AS width, any_value(n1) AS n1, any_value(n0) AS n0, list((m1 + m0) / 2 ORDER BY place) AS middle,
+         list(list_append(list_transform(line, lambda v: v / (n1 + n0 - 2)), m1 - m0) ORDER BY place) AS m
+  FROM (SELECT split, "K", place, list(s ORDER BY other) AS line FROM scatter GROUP BY ALL) JOIN sides USING (split, "K", place) GROUP BY split, "K"),
+lda_pred_test AS (SELECT 0 AS rep, split, "K", sample_ix, class, v FROM vec WHERE role = 'test'),
+{parts.eliminated('lda_pred')} {PREDICTION_SQL} lda_pred"""
+
+
 @query(f"WITH {SMOTE_SQL}")
 def smote(spark, sf_dir):
     s = study(spark, sf_dir, 3, rule="imbalanced")
@@ -111,13 +164,13 @@ def lda(spark, sf_dir):
     return predictions(s, s.cells(1).lda())
 
 
-@query()
+@query(LDA_OVER_SQL)
 def lda_oversampled(spark, sf_dir):
     s = study(spark, sf_dir, 5, rule="imbalanced")
     return predictions(s, s.cells(1).lda())
 
 
-@query()
+@query(KNN_OVER_SQL)
 def knn_oversampled(spark, sf_dir):
     s = study(spark, sf_dir, KNN_SPLITS, rule="imbalanced")
     return predictions(s, s.cells(1).neighbours())

@@ -246,6 +246,16 @@ def discriminant(panels: str = "panels", name: str = "lda_pred") -> str:
   SELECT rep, split, "K", count(*) AS width, any_value(n1) AS n1, any_value(n0) AS n0, list((m1 + m0) / 2 ORDER BY rank) AS middle,
          list(list_append(list_transform(line, lambda v: v / (n1 + n0 - 2)), m1 - m0) ORDER BY rank) AS m
   FROM {name}_rows JOIN fit USING (rep, split, gene_ix) GROUP BY rep, split, "K"),
+{name}_test AS (
+  SELECT rep, split, "K", sample_ix, class, list(value ORDER BY rank) AS v
+  FROM (SELECT rep, split, "K", rank, gene_ix FROM {panels}) JOIN long USING (gene_ix) JOIN splits USING (rep, split, sample_ix, class)
+  WHERE role = 'test' GROUP BY ALL),
+{eliminated(name)}"""
+
+
+def eliminated(name: str) -> str:
+    """Predictions of {name}_test(rep, split, K, sample_ix, class, v) from the systems {name}_system(rep, split, K, width, n1, n0, middle, m)."""
+    return f"""
 {name}_solved AS (
   SELECT rep, split, "K", width, 1::BIGINT AS i, m FROM {name}_system
   UNION ALL
@@ -256,10 +266,6 @@ def discriminant(panels: str = "panels", name: str = "lda_pred") -> str:
 {name}_model AS (
   SELECT rep, split, "K", n1, n0, middle, list_transform(s.m, lambda line: line[width + 1]) AS w
   FROM (SELECT rep, split, "K", m FROM {name}_solved WHERE i = width + 1) s JOIN {name}_system t USING (rep, split, "K")),
-{name}_test AS (
-  SELECT rep, split, "K", sample_ix, class, list(value ORDER BY rank) AS v
-  FROM (SELECT rep, split, "K", rank, gene_ix FROM {panels}) JOIN long USING (gene_ix) JOIN splits USING (rep, split, sample_ix, class)
-  WHERE role = 'test' GROUP BY ALL),
 {name}_score AS (
   SELECT rep, split, "K", sample_ix, class, ln(n1::DOUBLE / n0) + list_dot_product(w, v) - list_dot_product(w, middle) AS score
   FROM {name}_test JOIN {name}_model USING (rep, split, "K")),
