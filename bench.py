@@ -54,6 +54,11 @@ def svm(spark, sf_dir):
     return metrics.summary(s.split_metrics(s.cells(1).svm()))
 
 
+def forests(spark, sf_dir):
+    s = study(spark, sf_dir, 10)
+    return metrics.summary(s.split_metrics(s.cells(1).forest()))
+
+
 def stability(spark, sf_dir):
     return jobs.stability(embedding_samples(spark, sf_dir, "planted"), n_reps=10, n_splits=SPLITS)
 
@@ -66,6 +71,7 @@ JOBS = {
     "lda_100x7": summarised("lda"),
     "lasso_cv_10": lasso,
     "svm_calibrated_10x7": svm,
+    "random_forest_10x7": forests,
     "stability_10x100": stability,
     "labelled_table": QUERIES["labelled_table"],
     "runtime_per_core": QUERIES["runtime_per_core"],

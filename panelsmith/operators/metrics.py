@@ -187,3 +187,15 @@ def spearman_pairs(panels: DataFrame, ident: str) -> DataFrame:
         # one zero, not two
         .withColumn("spearman", F.when(F.abs("spearman") < 1e-12, 0.0).otherwise(F.col("spearman")))
     )
+
+
+def spearman_by_k(pairs: DataFrame) -> DataFrame:
+    """(K, pairs, Spearman_Mean, Spearman_Std): mean and population deviation over the pairs of panels that can be compared."""
+    return pairs.groupBy("K").agg(
+        F.count(F.lit(1)).alias("pairs"), F.avg("spearman").alias("Spearman_Mean"), F.stddev_pop("spearman").alias("Spearman_Std")
+    )
+
+
+def keyed_metrics(table: DataFrame) -> DataFrame:
+    """Stability rows with their metric's name in lower case, by which figures look it up."""
+    return table.withColumn("metric_key", F.lower("Metric"))

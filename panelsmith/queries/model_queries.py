@@ -301,6 +301,13 @@ def spearman_pairs(spark, sf_dir):
     return rounded(m.spearman_pairs(study(spark, sf_dir).panels, "split"), "spearman")
 
 
+@query(f"""WITH {parts.selection(SPLITS)}, {SPEARMAN_SQL.replace('SELECT "K", a, b, count(*) AS common', ', correlated AS (SELECT "K", a, b, count(*) AS common')})
+SELECT "K", count(*) AS pairs, round(avg(spearman), 5) AS "Spearman_Mean", round(stddev_pop(spearman), 5) AS "Spearman_Std" FROM correlated GROUP BY "K" """)
+def spearman_by_k(spark, sf_dir):
+    pairs = rounded(m.spearman_pairs(study(spark, sf_dir).panels, "split"), "spearman")
+    return rounded(m.spearman_by_k(pairs), "Spearman_Mean", "Spearman_Std", places=5)
+
+
 def stability_tables(spark, sf_dir):
     """Replicate 0 gives the original split panels, replicates 1… the aggregated ones."""
     s = study(spark, sf_dir, 5, first_rep=0, n_reps=5)
@@ -331,6 +338,11 @@ def panel_stability(spark, sf_dir):
     return rounded(stability_tables(spark, sf_dir), "Value")
 
 
+@query(f"""WITH {STABILITY_SQL} SELECT "K", "Metric", lower("Metric") AS metric_key, round("Value", 6) AS "Value" FROM stability""")
+def metric_key(spark, sf_dir):
+    return rounded(m.keyed_metrics(stability_tables(spark, sf_dir)).select("K", "Metric", "metric_key", "Value"), "Value")
+
+
 STABILITY_NAMES = [f"{a}_Jaccard_{b}" for a in ("Original", "Aggregated") for b in ("Mean", "Std")]
 
 
