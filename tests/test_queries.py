@@ -8,6 +8,7 @@ from panelsmith.queries import ORACLES, QUERIES
 FAST = (
     "mc_splits", "kfold", "eb_prior", "moderated_t", "frozen_panel", "gaussian_nb", "summary_stage2",
     "panel_stability", "labelled_table", "grouped_adapter", "k_tagged_union", "weights_highest", "speed_up", "box_stats_runtime",
+    "lda", "lda_oversampled", "knn_oversampled", "spearman_by_k",
 )
 
 
