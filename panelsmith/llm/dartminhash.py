@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsmith.llm.common import (
-    MARKS, WordHashes, bucket_components, linkable, mixed, same, shared_buckets, slices, text_key, utf8, word_bytes, word_hashes,
+    MARKS, WordHashes, bucket_components, linkable, mixed, same, shared_buckets, slices, spread_join, text_key, utf8, word_bytes,
+    word_hashes,
 )
 from panelsmith.session import settle
 
@@ -188,13 +189,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that repeat both id and text share their verdict and are told apart by nothing. An empty table gives
     an empty result; other columns are ignored. Texts are known by 64-bit keys.
     """
-    rows = _keyed(docs, id_col, text_col).select("doc_id", "node", F.col("text").isNull().alias("bare"))
+    rows = settle(_keyed(docs, id_col, text_col).select("doc_id", "node", F.col("text").isNull().alias("bare")), "near-keyed")
     roots = similar_texts(docs, text_col=text_col, **how)
-    full = rows.where("not bare").join(settle(roots, "near-roots"), "node", "left")
+    full = spread_join(rows.where("not bare"), settle(roots, "near-roots"), "node", "left")
     full = settle(full.select("doc_id", "node", F.coalesce("root", "node").alias("root")), "near-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("n")))
-    classes = full.groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size"))
-    out = full.join(classes, "root").select(
+    classes = settle(full.groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size")), "near-classes")
+    out = spread_join(full, classes, "root").select(
         "doc_id", "node", F.col("first.id").alias("class_id"), "class_size",
         (same(F.col("doc_id"), F.col("first.id")) & (F.col("node") == F.col("first.n"))).alias("kept"),
     )
