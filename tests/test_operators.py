@@ -132,6 +132,35 @@ def test_nearest_is_exact_with_ties_and_small_blocks(spark):
         assert np.allclose([d for d, _ in sorted(got[i])], [d for d, _ in want])
 
 
+@pytest.mark.parametrize("k, offset, tile_values", [(4, 0.0, 10**6), (4, 0.0, 200), (30, 1e6, 10**6), (30, 0.0, 3000)])
+def test_nearest_over_tiles_and_rounding(spark, k, offset, tile_values):
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(700, k)) + offset
+    pts[300:420] = pts[0]
+    data = [(i % 2, k, i, bool(i % 3), [float(v) for v in pts[i]]) for i in range(700)]
+    rows = spark.createDataFrame(data, "slot int, K int, sample_ix long, is_pos boolean, x array<double>")
+    asked, given = (neighbours.pack_blocks(rows.where(f"sample_ix % 5 {sign} 0"), block_rows=16) for sign in ("=", "<>"))
+    found = neighbours.nearest(asked, given, 3, tile_values=tile_values).collect()
+    got = {}
+    for r in found:
+        assert r["near_pos"] == bool(r["near_ix"] % 3) and r["slot"] == r["near_ix"] % 2
+        got.setdefault(r["sample_ix"], []).append((r["nth"], r["near_ix"], r["d2"]))
+    for i in range(0, 700, 5):
+        d2 = ((pts[i] - pts) ** 2).sum(axis=1)
+        want = sorted((d2[j], j) for j in range(700) if j % 5 and j % 2 == i % 2)[:3]
+        assert [j for _, j, _ in sorted(got[i])] == [j for _, j in want]
+        assert np.allclose([d for _, _, d in sorted(got[i])], [d for d, _ in want])
+
+
+def test_blocks_are_not_stored_in_pairs(spark):
+    rng = np.random.default_rng(6)
+    data = [(slot, 8, i, True, [float(v) for v in rng.normal(size=8)]) for slot in range(40) for i in range(120)]
+    rows = spark.createDataFrame(data, "slot int, K int, sample_ix long, is_pos boolean, x array<double>")
+    blocks = neighbours.pack_blocks(rows, block_rows=8)
+    n = blocks.count()
+    assert neighbours.dealt(blocks, blocks).count() == 2 * n
+
+
 def test_votes(spark):
     near = spark.createDataFrame(
         [(0, 3, 1, True, 0.0), (0, 3, 1, False, 4.0), (0, 3, 1, False, 4.0),
