@@ -207,6 +207,22 @@ def coded(spark):
     return spark.createDataFrame(data, "slot int, K int, codes array<int>, is_pos boolean, x array<double>").repartition(4), x, y
 
 
+def test_lasso_directions_are_exact_where_the_curvature_is_ill_conditioned():
+    rng = np.random.default_rng(12)
+    h, g, w = [], [], []
+    for spread in (1.0, 1e-4):
+        a = rng.normal(size=(200, 12)) * spread + rng.normal(size=(200, 1))
+        h.append(1e4 * a.T @ a)
+        w.append(np.where(rng.random(12) < 0.5, rng.normal(size=12) * 50, 0.0))
+        g.append(h[-1] @ rng.normal(size=12))
+    h, g, w = map(np.array, (h, g, w))
+    u = w + solver.lasso_directions(h, g, w, 1.0)
+    for n in range(2):
+        r = g[n] + h[n] @ (u[n] - w[n])
+        assert np.abs(r + np.sign(u[n]))[u[n] != 0].max(initial=0) < 1e-4
+        assert (np.abs(r) <= 1 + 1e-4)[u[n] == 0].all()
+
+
 def test_lasso_meets_its_optimality_conditions(coded):
     rows, x, y = coded
     fits = [solver.Fit(0, 6, 6, C=c, held=h) for c in (0.03, 0.3, 3.0) for h in (-1, 2)]
