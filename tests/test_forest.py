@@ -1,6 +1,7 @@
 """Forests of all cells against a plain tree builder with the same draws."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from panelsmith.design import Design
@@ -96,3 +97,19 @@ def test_cells_are_fitted_together_and_large_ones_spread(spark):
     mixed = {(r.slot, r.sample_ix): r.p_pos for r in forest.predict(train, test, Design(n_splits=3), trees=30, local_rows=45).collect()}
     assert len(mixed) == 30 and all(mixed[k] == pytest.approx(out[k]) for k in out if k[0] > 0)
     assert all(0 <= p <= 1 for p in mixed.values())
+
+
+def test_a_cell_of_many_rows_gets_whole_trees(spark):
+    rng = np.random.default_rng(4)
+    n = 110_000
+    x = rng.integers(0, 40, (n, 2)).astype(float)
+    positive = (x.sum(axis=1) + rng.integers(0, 3, n)) % 5 < 2
+    query = x[:200] + 0.25
+    train = pd.DataFrame({"slot": 0, "K": 2, "sample_ix": np.arange(n), "is_pos": positive, "x": x.tolist()})
+    test = pd.DataFrame({"slot": 0, "K": 2, "sample_ix": n + np.arange(200), "class": "Cancer", "x": query.tolist()})
+    train = spark.createDataFrame(train, "slot int, K int, sample_ix long, is_pos boolean, x array<double>")
+    test = spark.createDataFrame(test, "slot int, K int, sample_ix long, class string, x array<double>")
+    out = {r.sample_ix: r.p_pos for r in forest.predict(train, test, Design(n_splits=1), trees=21).collect()}
+    seeds = forest.tree_seeds(0, 2, 0, 21)
+    want = forest.Trees(x, positive, forest.bootstrap(seeds, np.arange(n)), seeds, (1.0, 1.0)).shares(query) / 21
+    assert np.allclose([out[n + i] for i in range(200)], want, atol=1e-9)
