@@ -9,6 +9,7 @@ from panelsmith.design import Design, N_FOLDS
 from panelsmith.operators.cells import decided
 from panelsmith.operators.models.linear import dot, sigmoid
 from panelsmith.operators.models.solver import Fit, Problem, solve
+from panelsmith.session import settle
 
 MARGIN = Problem(loss="squared_hinge", ridge=1.0, bias=True)
 SIGMOID = Problem(loss="logistic", bias=True)
@@ -61,9 +62,10 @@ def fit_models(rows: DataFrame, balanced: bool = False, n_folds: int = N_FOLDS)
         [(f.slot, f.K, f.held, [float(v) for v in f.coef], f.intercept) for f in margins],
         "slot int, K int, fold int, coef array<double>, intercept double",
     )
-    held_rows = coded.join(table, ["slot", "K", "fold"]).withColumn(
-        "x", F.array(dot("x", "coef") + F.col("intercept"))
-    )
+    # stored once: every step of the sigmoid fits reads them
+    held_rows = settle(coded.join(table, ["slot", "K", "fold"]).select(
+        "slot", "K", "codes", "is_pos", F.array(dot("x", "coef") + F.col("intercept")).alias("x")
+    ), "margins")
     sigmoids = []
     for f in margins:
         p, n = counts.get((f.slot, f.K, f.held), (0, 0))

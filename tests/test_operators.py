@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelsmith.design import Design
 from panelsmith.functions.special import digamma, trigamma, trigamma_inverse
 from panelsmith.operators import metrics, neighbours, ranking, resample, runtime, selection
-from panelsmith.operators.models import knn, lda, linear, solver
+from panelsmith.operators.models import knn, lda, linear, solver, svm
 
 
 def test_special_functions(spark):
@@ -339,3 +339,18 @@ def test_folds_of_oversampled_rows(spark):
     for k, c in enumerate(seen):
         alloc = [codes[f::5].count(k) for f in range(5)]
         assert [got[i] for i, l in zip(ids, labels) if l == c] == [f for f in range(5) for _ in range(alloc[f])]
+
+
+def test_sigmoid_fits_read_stored_margins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(0, 2, i % 5, bool(rng.random() < 0.5), rng.normal(size=2).tolist()) for i in range(60)]
+    rows = spark.createDataFrame(data, "slot int, K int, fold int, is_pos boolean, x array<double>")
+    read, solve = [], svm.solve
+
+    def recorded(rows, fits, problem):
+        read.append(rows.inputFiles())
+        return solve(rows, fits, problem)
+
+    monkeypatch.setattr(svm, "solve", recorded)
+    assert len(svm.fit_models(rows)) == 5
+    assert read[1] and all("margins" in f for f in read[1])
