@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,11 +24,30 @@ TIERS = (256, 512, 1024, 2048)
 GROUP_ROWS = 8192
 
 
+#: ASCII marks, which are neither letters nor digits, nor the apostrophe of contractions.
+_ENDS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+
+
+def _marks_apart(tokenizer) -> bool:
+    """Whether the tokenizer cuts every text between an ASCII letter or digit and a mark of _ENDS, whatever is around.
+
+    True where its words are runs of letters, single digits or runs of other characters; others are not looked into.
+    """
+    import json
+
+    rules = json.loads(tokenizer.to_str())
+    cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if not cuts or cuts[0].get("type") != "Split" or not cuts[0].get("invert") or cuts[0]["behavior"] != "Removed":
+        return False
+    kinds = re.sub(r"^('[a-z]+\|)*", "", cuts[0]["pattern"].get("Regex", ""))
+    return kinds == r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class PieceEncoder:
     """Token ids of texts by a tokenizer that never joins characters across white space.
 
     Texts are cut at ASCII white space, and every distinct piece is encoded by the tokenizer once, while it is
-    remembered.
+    remembered. Marks at the end of an ASCII word are encoded apart from it, if the tokenizer is seen to tell them from it.
     """
 
     def __init__(self, path: str):
@@ -36,6 +56,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a token that is cut out of a text before anything else is done with it keeps the pieces on its sides apart
+        plain = [
+            (i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items()
+            if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip) and t.content.startswith("<|")
+        ]
+        self.between = min(plain, default=None)
+        self.marks_apart = _marks_apart(self.tokenizer)
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -47,6 +74,22 @@ class PieceEncoder:
             return text.lower().split()
         return [p.lower() if p.isascii() else p for p in text.split()]
 
+    def encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of every piece, as 32-bit numbers; many pieces go to the tokenizer as one text."""
+        if self.between is None or any(b"<|" in p for p in pieces):
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+            return [array("I", e.ids).tobytes() for e in found]
+        stop, content = self.between
+        mark = content.encode()
+        texts = [mark.join([*pieces[k : k + 64], b""]).decode() for k in range(0, len(pieces), 64)]
+        flat = array("I")
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            flat.extend(e.ids)
+        ends = np.flatnonzero(np.frombuffer(flat, np.uint32) == stop) * 4
+        starts = np.concatenate([[0], ends[:-1] + 4])
+        whole = flat.tobytes()
+        return [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         # the vocabulary is in lower case; control strings are told by their case, and a capital may compose with a mark after it
         pieces = [self.pieces(t) for t in texts]
@@ -60,10 +103,16 @@ class PieceEncoder:
                     recent[p] = older[p]
                 else:
                     new.append(p)
+        cut = {}
+        if self.marks_apart:
+            cut = {p: w for p in new if p.isascii() and 0 < len(w := p.rstrip(_ENDS)) < len(p) and b"<|" not in p}
+            parts = {x for p, w in cut.items() for x in (w, p[len(w) :])}.union(p for p in new if p not in cut)
+            new = [p for p in parts if p not in recent]
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                recent[p] = array("I", e.ids).tobytes()
+            recent.update(zip(part, self.encoded(part)))
+        for p, w in cut.items():
+            recent[p] = recent[w] + recent[p[len(w) :]]
         return [np.frombuffer(b"".join([recent[p] for p in ps]), "<u4") for ps in pieces]
 
 

@@ -430,3 +430,17 @@ def test_sets_of_lines():
         r, v, _ = linededup.char_sets(texts[3:5], 5)
         together = make(*linededup._part(row, value, n > 0), int((n > 0).sum()))
         assert (make(r, v, 2) == together[2:4]).all() and np.unique(together, axis=0).shape[0] == len(together)
+
+
+def test_packing_encodes_a_word_once_whatever_marks_follow_it():
+    """Texts with marks at the ends of words have the ids of the whole text."""
+    encoder = packing.PieceEncoder(queries.tokenizer_file("word_bpe_49k.json"))
+    asked, encoded = [], encoder.encoded
+    encoder.encoded = lambda pieces: asked.extend(pieces) or encoded(pieces)
+    odd = [
+        "word word, word. word!? word... (word) word; don't 'tis a'b,c' x'' x's. 's,'t 3.14, 9%", "A<|startoftext|> b., a<| b|> c<", "...",
+        "T̈. a̸=, b≠ é, …. x…. «word», ß!? word,…", "<|endoftext|>,", "",
+    ]
+    for text, ids in zip(odd, encoder.ids([t.encode() for t in odd]), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked.count(b"word") == 1 and not {b"word,", b"word.", b"word!?", b"word...", b"word;"} & set(asked)
