@@ -444,3 +444,39 @@ def test_packing_encodes_a_word_once_whatever_marks_follow_it():
     for text, ids in zip(odd, encoder.ids([t.encode() for t in odd]), strict=True):
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert asked.count(b"word") == 1 and not {b"word,", b"word.", b"word!?", b"word...", b"word;"} & set(asked)
+
+
+def test_line_classes_leave_no_large_tables_behind(spark, monkeypatch):
+    """Tables that only served to find the links are gone; texts that are held back before the shuffle change nothing."""
+    import os
+
+    from panelsmith.session import shared_folder
+
+    lines = [prose(k // 3, 30) + f" {prose(900 + k % 3, 1)}" for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    folder = os.path.join(shared_folder(spark).removeprefix("file://").removeprefix("file:"), "panelsmith")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    plain = sorted(linededup.line_classes(docs).collect())
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert not left & {"line-shared", "line-texts", "line-live", "line-heads", "line-pairs", "line-links", "line-rest", "line-places"}
+    monkeypatch.setattr(linededup, "MANY_TEXTS", 1, raising=False)
+    assert sorted(linededup.line_classes(docs).collect()) == plain
+    assert len({r.class_id for r in plain}) < 90
+
+
+def test_buckets_that_are_not_crowded_take_one_round(spark):
+    from pyspark.sql import functions as F
+
+    from panelsmith.llm.common import MARKS, bucket_components
+
+    rows = [(b, 100 * b + k, False, 10, None, *[None] * len(MARKS)) for b in range(5) for k in range(12)]
+    kinds = "key long, node long, crowded boolean, size long, mine array<long>, " + ", ".join(f"{m} long" for m in MARKS)
+    asked = []
+
+    def near(pairs):
+        asked.append(pairs.count())
+        return pairs.where((F.col("b") - F.col("a")) == 3)
+
+    got = {r.node: r.root for r in bucket_components(spark.createDataFrame(rows, kinds), near, 0.8, "few").collect()}
+    assert got == {100 * b + k: 100 * b + k % 3 for b in range(5) for k in range(12)}
+    assert asked == [5 * 66]
