@@ -14,7 +14,7 @@ from panelsmith.llm.common import (
     MARKS, WordHashes, bucket_components, linkable, mixed, same, shared_buckets, slices, spread_join, text_key, utf8, word_bytes,
     word_hashes,
 )
-from panelsmith.session import settle
+from panelsmith.session import discard, settle
 
 BANDS, ROWS = 30, 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +119,7 @@ def similar_texts(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 3_000_000):
+            for batch in slices(whole, "text", 1_000_000):
                 row, value, count = shingles(utf8(batch.column(1)), word_hashes(), size)
                 weight = count.astype(np.float64) if weights == "count" else np.ones(len(row))
                 keys = band_keys(dart_signatures(row, value, weight, batch.num_rows, bands * rows), bands, rows)
@@ -130,14 +130,15 @@ def similar_texts(
 
     signed = texts.mapInArrow(sign, "node long, keys array<long>")
     # only texts that share a bucket with another text are looked at again
-    members = settle(signed.select("node", F.explode("keys").alias("key")).distinct(), "near-all")
-    members = shared_buckets(members, "near")
+    every = settle(signed.select("node", F.explode("keys").alias("key")).distinct(), "near-all")
+    members = shared_buckets(every, "near")
+    discard(every)
 
     bits = 64 * len(MARKS)
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 3_000_000):
+            for batch in slices(whole, "text", 1_000_000):
                 row, value, count = shingles(utf8(batch.column(1)), word_hashes(), size)
                 ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
                 if weights == "count":
@@ -159,6 +160,7 @@ def similar_texts(
 
     sizes = sets.withColumn("size", (F.octet_length("elements") / 8).cast("long"))
     live = linkable(members, sizes, "near")
+    discard(members)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +179,9 @@ def similar_texts(
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return both.mapInArrow(compare, "a long, b long")
 
-    return bucket_components(live, near, threshold, "near")
+    roots = bucket_components(live, near, threshold, "near")
+    discard(sets, live)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -191,8 +195,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = settle(_keyed(docs, id_col, text_col).select("doc_id", "node", F.col("text").isNull().alias("bare")), "near-keyed")
     roots = similar_texts(docs, text_col=text_col, **how)
-    full = spread_join(rows.where("not bare"), settle(roots, "near-roots"), "node", "left")
+    full = spread_join(rows.where("not bare"), roots, "node", "left")
     full = settle(full.select("doc_id", "node", F.coalesce("root", "node").alias("root")), "near-rows")
+    discard(roots)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("n")))
     classes = settle(full.groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size")), "near-classes")
     out = spread_join(full, classes, "root").select(
