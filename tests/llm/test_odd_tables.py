@@ -480,3 +480,37 @@ def test_buckets_that_are_not_crowded_take_one_round(spark):
     got = {r.node: r.root for r in bucket_components(spark.createDataFrame(rows, kinds), near, 0.8, "few").collect()}
     assert got == {100 * b + k: 100 * b + k % 3 for b in range(5) for k in range(12)}
     assert asked == [5 * 66]
+
+
+def test_tables_between_rounds_are_written_in_few_pieces(spark, monkeypatch):
+    """A table of few rows has a file per core at most, however many partitions the shuffles have; a large one keeps its pieces."""
+    import os
+
+    from panelsmith.llm import common
+    from panelsmith.session import settle, shared_folder
+
+    def pieces(path):
+        return sum(x.startswith("part-") for x in os.listdir(path))
+
+    lines = [prose(k // 3, 30) + f" {prose(900 + k % 3, 1)}" for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    plain = sorted(linededup.line_classes(docs).collect())
+    folder = os.path.join(shared_folder(spark).removeprefix("file://").removeprefix("file:"), "panelsmith")
+    before = set(os.listdir(folder))
+    for where in (common, linededup):
+        monkeypatch.setattr(where, "discard", lambda *tables: None)
+    shuffles = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in shuffles}
+    try:
+        for k, v in shuffles.items():
+            spark.conf.set(k, v)
+        assert sorted(linededup.line_classes(docs).collect()) == plain
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    made = {x: pieces(f"{folder}/{x}") for x in set(os.listdir(folder)) - before}
+    rounds = ("live", "heads", "pairs", "links", "edges", "stars", "so-far", "rest")
+    made = {x: n for x, n in made.items() if x.rsplit("-", 1)[0] in {f"line-{r}" for r in rounds}}
+    assert len(made) >= 6 and max(made.values()) <= spark.sparkContext.defaultParallelism, made
+    large = settle(spark.range(0, 640, 1, 64), "large", rows=640_000)
+    assert pieces(large.settled_at.removeprefix("file://").removeprefix("file:")) == 64
