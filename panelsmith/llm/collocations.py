@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -89,7 +88,7 @@ class Words:
         return out
 
     def phrase(self, at: int, size: int) -> bytes:
-        return b" ".join(self.flat[self.start[at] : self.end[at + size - 1]].split())
+        return b" ".join(self.flat[self.start[at] : self.end[at + size - 1]].split()) if size else b""
 
     def lang(self, at: int) -> bytes:
         return self.langs[self.text[at]]
@@ -101,10 +100,38 @@ def _words_of(whole: pa.RecordBatch) -> Iterator[Words]:
         yield Words([t or b"" for t in utf8(batch.column(1))], langs)
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    langs, phrases = zip(*counts) if counts else ((), ())
-    columns = [pa.array([x.decode() for x in langs], pa.string()), pa.array([x.decode() for x in phrases], pa.string())]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "f"])
+class Tally:
+    """Counts of phrases by hash, sorted; a phrase becomes a string once, where it is met first."""
+
+    def __init__(self):
+        self.hashes, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # which of the names a hash stands for
+        self.which = np.zeros(0, np.int64)
+        self.langs: list[bytes] = []
+        self.phrases: list[bytes] = []
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def add(self, words: Words, size: int, places: np.ndarray) -> None:
+        found, first, n = np.unique(words.run(size)[places], return_index=True, return_counts=True)
+        at = np.searchsorted(self.hashes, found)
+        old = within(self.hashes, found)
+        self.times[at[old]] += n[old]
+        new = ~old
+        named = np.arange(len(self.phrases), len(self.phrases) + new.sum())
+        for place in places[first[new]].tolist():
+            self.langs.append(words.lang(place))
+            self.phrases.append(words.phrase(place, size))
+        self.hashes = np.insert(self.hashes, at[new], found[new])
+        self.times = np.insert(self.times, at[new], n[new])
+        self.which = np.insert(self.which, at[new], named)
+
+    def counted(self) -> pa.RecordBatch:
+        times = np.zeros_like(self.times)
+        times[self.which] = self.times
+        names = [pa.array(x, pa.binary()).cast(pa.string()) for x in (self.langs, self.phrases)]
+        return pa.RecordBatch.from_arrays([*names, pa.array(times)], names=["lang", "phrase", "f"])
 
 
 def _phrase_counts(
@@ -112,22 +139,19 @@ def _phrase_counts(
 ) -> DataFrame:
     """(lang, phrase, f) of the phrases with `least` occurrences or more among the places that `pick(words)` gives as (size, places).
 
-    Equal phrases of a batch become one row, those of a task are kept together as long as they are few.
+    Equal phrases of a task become one row, as long as it has met few.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        tally = Tally()
         for whole in batches:
             for words in _words_of(whole):
                 for size, places in pick(words):
-                    hashes = words.run(size)[places]
-                    _, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                    for at, times in zip(places[first].tolist(), n.tolist()):
-                        counts[words.lang(at), words.phrase(at, size)] += times
-                if len(counts) > KEPT:
-                    yield _counted(counts)
-                    counts.clear()
-        yield _counted(counts)
+                    tally.add(words, size, places)
+                if len(tally) > KEPT:
+                    yield tally.counted()
+                    tally = Tally()
+        yield tally.counted()
 
     rows = texts.mapInArrow(run, "lang string, phrase string, f long")
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
@@ -157,27 +181,16 @@ def _hashed_counts(texts: DataFrame, keys: Callable[[Words], np.ndarray], least:
     return bitmap(settle(counts.select("h"), "phrases-hashed"), "h")
 
 
-def language_totals(texts: DataFrame) -> DataFrame:
-    """(lang, n): all words of every language."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for w in _words_of(whole):
-                n = Counter()
-                for lang, found in zip(w.langs, np.bincount(w.text, minlength=len(w.langs)).tolist()):
-                    n[lang] += found
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.decode() for x in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["lang", "n"]
-                )
-
-    return texts.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+def language_totals(counts: DataFrame) -> DataFrame:
+    """(lang, n): all words of every language with `least` or more, from `frequent_counts` of words."""
+    return counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
 
 
 def frequent_counts(texts: DataFrame, size: int, within: Broadcast | None, least: int) -> tuple[DataFrame, np.ndarray]:
     """(lang, phrase, f) of the words (size 1) or pairs (2) with `least` occurrences or more, and a bitmap of their hashes.
 
     They are counted by hash first, which is never too few; those whose hash is frequent are then counted as such. Pairs are
-    looked for among words of the bitmap `within` only.
+    looked for among words of the bitmap `within` only. With the words comes the empty phrase, which stands at every word of its language.
     """
 
     def places(w: Words) -> np.ndarray:
@@ -192,7 +205,8 @@ def frequent_counts(texts: DataFrame, size: int, within: Broadcast | None, least
 
     def pick(w: Words) -> list[tuple[int, np.ndarray]]:
         at = places(w)
-        return [(size, at[among(held.value, w.run(size)[at].view(np.int64))])]
+        frequent = [(size, at[among(held.value, w.run(size)[at].view(np.int64))])]
+        return [(0, np.arange(len(w.start))), *frequent] if size == 1 else frequent
 
     found = settle(_phrase_counts(texts, pick, least), "phrases-frequent")
     held.destroy()
@@ -338,14 +352,14 @@ def collocations(
     `best`-th settled phrase, ties included. Null languages are `und`, null texts are empty; a language without frequent
     phrases and an empty table give no rows. Repeated rows count each time; other columns are ignored.
 
-    Counts are of the phrases themselves; within a batch, and where pairs and expanded phrases are looked up, 64-bit keys stand for them.
+    Counts are of the phrases themselves; among the few a task keeps, and where pairs and expanded phrases are looked up, 64-bit keys stand for them.
     """
     spark = docs.sparkSession
     texts = docs.select(
         F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    totals = settle(language_totals(texts), "phrases-totals")
-    frequent, held = frequent_counts(texts, 1, None, least)
+    words, held = frequent_counts(texts, 1, None, least)
+    totals, frequent = language_totals(words), words.where("phrase <> ''")
     singles = spark.sparkContext.broadcast(held)
     pairs, held = frequent_counts(texts, 2, singles, least)
     singles.destroy()

@@ -221,6 +221,23 @@ def test_collocations_settle_all_ties(spark, monkeypatch, step, sent):
     assert sorted(map(tuple, got)) == collocations_by_hand(docs, 4, 7)
 
 
+def test_phrases_are_named_once(monkeypatch):
+    """A phrase that a task meets in many slices of its texts becomes a string once, and its counts add up by language."""
+    named = []
+    phrase = collocations.Words.phrase
+    monkeypatch.setattr(collocations.Words, "phrase", lambda self, at, size: named.append(at) or phrase(self, at, size))
+    tally, slices = collocations.Tally(), [([b"A b. b\tA b", b"a B"], [b"en", b"de"]), ([b"", b"x"], [b"en", b"fr"]), ([b"b  a b"], [b"en"]), ([], [])]
+    for texts, langs in slices * 3:
+        words = collocations.Words(texts, langs)
+        for size in (0, 1, 2):
+            tally.add(words, size, np.flatnonzero(words.whole(size)))
+    expected = {("en", ""): 8, ("de", ""): 2, ("fr", ""): 1, ("en", "a"): 3, ("en", "b"): 5, ("de", "a"): 1, ("de", "b"): 1, ("fr", "x"): 1}
+    expected |= {("en", "a b"): 3, ("en", "b a"): 2, ("de", "a b"): 1}
+    rows = tally.counted().to_pylist()
+    assert len(rows) == len(named) == len(tally) == len(expected)
+    assert {(r["lang"], r["phrase"]): r["f"] for r in rows} == {k: 3 * n for k, n in expected.items()}
+
+
 def test_collocations_on_odd_tables(odd_docs, no_docs):
     out = collocations.collocations(odd_docs, least=2, best=50).collect()
     assert sorted(map(tuple, out)) == collocations_by_hand([(r[2], r[1]) for r in ROWS], 2, 50)
