@@ -514,3 +514,36 @@ def test_tables_between_rounds_are_written_in_few_pieces(spark, monkeypatch):
     assert len(made) >= 6 and max(made.values()) <= spark.sparkContext.defaultParallelism, made
     large = settle(spark.range(0, 640, 1, 64), "large", rows=640_000)
     assert pieces(large.settled_at.removeprefix("file://").removeprefix("file:")) == 64
+
+
+def test_tables_of_few_lines_are_written_in_few_pieces(spark, monkeypatch):
+    """Line tables and those of heavy keys have a file per core at most when there are few lines; places keep the documents' pieces."""
+    from pathlib import Path
+
+    from panelsmith.llm import common
+
+    made = {}
+
+    def settle(df, name, *args, write=common.settle, **how):
+        out = write(df, name, *args, **how)
+        folder = Path(out.settled_at.removeprefix("file://").removeprefix("file:"))
+        made[name] = max(made.get(name, 0), sum(x.name.startswith("part-") for x in folder.iterdir()))
+        return out
+
+    lines = [prose(k // 3, 30) + f" {prose(900 + k % 3, 1)}" for k in range(300)]
+    docs = spark.createDataFrame([(k, f"{x}\nthe same in every document") for k, x in enumerate(lines)], "doc_id long, text string")
+    plain = sorted(linededup.line_classes(docs).collect())
+    for where in (common, linededup):
+        monkeypatch.setattr(where, "settle", settle)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 1)
+    shuffles = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in shuffles}
+    try:
+        for k, v in shuffles.items():
+            spark.conf.set(k, v)
+        assert sorted(linededup.line_classes(docs).collect()) == plain
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    few = {"line-shared", "line-texts", "line-rows", "line-classes", "heavy-keys", "heavy-facts"}
+    assert few <= set(made) and max(made[x] for x in few) <= spark.sparkContext.defaultParallelism, made
